@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import leak, markup, rank, split, subject, tokenize
+from tessel.llm import leak, markup, neardup, neighbors, rank, split, subject, tokenize
 from tessel.runtime import table
 
 
@@ -32,12 +32,32 @@ def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
     return markup.find_markup(table(spark, folder, "chunks"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of chunks that share at least 75 % of the longer one's words."""
+    return neardup.all_pairs(*neardup.near_duplicates(table(spark, folder, "chunks")))
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk with the class of similar texts that it belongs to."""
+    return neardup.classes(*neardup.near_duplicates(table(spark, folder, "chunks")))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """The first five chunks of each query's ranking."""
     ranked = rank.ideal_point_ranking(table(spark, folder, "source_explanations"))
     return ranked.where(F.col("position") <= 5).select("query_id", "chunk_id")
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of vectors of which at least one is among the 5 most similar of the other."""
+    return neighbors.neighbor_pairs(neighbors.nearest(table(spark, folder, "chunk_vectors")))
+
+
+def p7_neighbors(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 most similar vectors of each vector whose id is divisible by 50, against all rows."""
+    return neighbors.nearest(table(spark, folder, "chunk_vectors")).where(F.col("chunk_id") % 50 == 0)
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's token ids."""
     return tokenize.encode_corpus(table(spark, folder, "documents"))
@@ -71,7 +91,7 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_clean, p6_found, p8_ids, p9_found, p9_cleaned, p10_found, p10_composition)
+    f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_clean, p5_found, p5_groups, p6_found, p7_found, p7_neighbors, p8_ids, p9_found, p9_cleaned, p10_found, p10_composition)
 }
 
 SQL: dict[str, str] = {
