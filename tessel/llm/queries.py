@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import leak, markup, neardup, neighbors, rank, split, subject, tokenize
+from tessel.llm import encoding, leak, markup, neardup, neighbors, rank, split, subject, tokenize
 from tessel.runtime import table
 
 
@@ -22,6 +22,21 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.resequenced(table(spark, folder, "chunks"))
 
 
+def _garbled(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks")
+    return encoding.find_garbled(chunks, encoding.fit_dictionaries(chunks))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks with characters from a wrong decoding."""
+    return _garbled(spark, folder).select("chunk_id")
+
+
+def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The same chunks with the text as far as it can be restored."""
+    return _garbled(spark, folder)
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks with markup in text or heading."""
     return markup.find_markup(table(spark, folder, "chunks"), convert=False).select("chunk_id")
@@ -91,7 +106,7 @@ def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_clean, p5_found, p5_groups, p6_found, p7_found, p7_neighbors, p8_ids, p9_found, p9_cleaned, p10_found, p10_composition)
+    f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_restored, p4_found, p4_clean, p5_found, p5_groups, p6_found, p7_found, p7_neighbors, p8_ids, p9_found, p9_cleaned, p10_found, p10_composition)
 }
 
 SQL: dict[str, str] = {
