@@ -1,10 +1,6 @@
 """The registered queries of the engine's own operators, with their SQL."""
 
-from __future__ import annotations
+from tessel.queries import dense, incremental, lexical
+from tessel.queries.registry import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL", "dense", "incremental", "lexical"]

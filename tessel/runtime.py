@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made_here: list[str] = []
 
@@ -62,3 +63,18 @@ def materialize(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table `name` of `folder`."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def bounded_sample(df: DataFrame, key: str, most: int, total: int | None = None) -> DataFrame:
+    """At most `most` rows, those with the smallest hash of the key: the same rows whatever the partitions.
+
+    Rows far from the smallest hashes are filtered out first, so that what the
+    tasks send to the driver is bounded by about twice the sample, not by a
+    sample for each partition.
+    """
+    total = df.count() if total is None else total
+    spread = 1 << 30
+    mark = F.pmod(F.xxhash64(key), F.lit(spread))
+    if total > 2 * most:
+        df = df.where(mark < int(spread * (1.5 * most + 50) / total))
+    return df.orderBy(mark, key).limit(most)
