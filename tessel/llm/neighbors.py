@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.runtime import materialize
+from tessel.runtime import bounded_sample, materialize
 
 K, WIDTH = 5, 64
 FACTOR = 0.25
@@ -187,8 +187,7 @@ def nearest(
             rows, vectors = unit_vectors(batch.column(1), width)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), _binary(vectors)], names=["id", "vec"])
 
-    clean = source.mapInArrow(read, "id long, vec binary")
-    sample = clean.orderBy(F.xxhash64("id"), "id", "vec").limit(pivots).collect()
+    sample = sorted(bounded_sample(source, "id", pivots, total).mapInArrow(read, "id long, vec binary").collect(), key=lambda r: (r["id"], r["vec"]))
     points = np.frombuffer(b"".join(r["vec"] for r in sample), np.float32).reshape(-1, width)
     sent = spark.sparkContext.broadcast(points)
     used = min(copies, max(1, len(points)))
