@@ -40,8 +40,8 @@ class Strategy:
         if self.index_form == "unicode61":
             found = F.regexp_extract_all(fold(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
         elif self.index_form == "trigram":
-            low = F.lower(c)
-            found = F.when(F.char_length(low) >= 3, F.transform(F.sequence(F.lit(1), F.char_length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+            # A look-ahead at every character; substring() would count from the start each time.
+            found = F.regexp_extract_all(F.lower(c), F.lit(r"(?s)(?=(.{3}))."), F.lit(1))
         else:
             # Chinese characters one by one, other letters and numbers in runs.
             found = F.regexp_extract_all(fold(c), F.lit(r"([\x{4e00}-\x{9fff}]|[\p{L}\p{N}&&[^\x{4e00}-\x{9fff}]]+)"), F.lit(1))
@@ -94,21 +94,30 @@ class InvertedIndex:
     how: Strategy
 
 
-def invert(df: DataFrame, text_col: str = "text", key_col: str = "chunk_id", how: Strategy = UNICODE61, positions: bool = True) -> InvertedIndex:
+def invert(df: DataFrame, text_col: str = "text", key_col: str = "chunk_id", how: Strategy = UNICODE61, positions: bool = True, only: list[str] | None = None) -> InvertedIndex:
     """The inverted index of a table with one row per key.
 
     Rows with null or empty text count as documents of length 0. `positions`
-    can be left out where no query has phrases of several terms.
+    can be left out where no query has phrases of several terms. `only` limits
+    the postings (not the lengths and counts) to some terms, for an index that
+    is made for one batch of queries and not kept.
     """
     docs = df.select(df[key_col].alias("key"), how.terms(df[text_col]).alias("terms"))
-    tokens = docs.select("key", F.posexplode("terms").alias("position", "term"))
+    tokens = docs.select("key", F.posexplode("terms").alias("position", "term")) if positions else docs.select("key", F.explode("terms").alias("term"))
     places = [F.sort_array(F.collect_list("position")).alias("positions")] if positions else []
+    if only is not None:
+        tokens = tokens.where(F.col("term").isin(sorted(set(only))))
     postings = tokens.groupBy("term", "key").agg(F.count(F.lit(1)).alias("tf"), *places)
     lengths = docs.select("key", F.size("terms").alias("length"))
     stats = lengths.agg(F.count(F.lit(1)).alias("documents"), (F.sum("length").cast("double") / F.count(F.lit(1))).alias("mean"))
     return InvertedIndex(postings, lengths, stats, how)
 
 
+def query_terms(queries: list[tuple[int, str]], how: Strategy) -> list[str]:
+    """All terms that the queries ask for."""
+    return sorted({w for _, text in queries for words in how.phrases(text) for w in words})
+
+
 def query_phrases(spark: SparkSession, queries: list[tuple[int, str]], how: Strategy) -> DataFrame:
     """(query_id, phrase, words, times): the queries' phrases; times is how often a query has one."""
     counted: dict[tuple[int, tuple[str, ...]], int] = {}

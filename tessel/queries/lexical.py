@@ -52,7 +52,7 @@ SELECT query_id, chunk_id, round(score, 6) AS score, position FROM
 
 
 def _answer(spark: SparkSession, folder: str, questions: list[tuple[int, str]], how: L.Strategy, order: str = "relevance") -> DataFrame:
-    index = L.invert(table(spark, folder, "chunks"), how=how, positions=how is L.UNICODE61)
+    index = L.invert(table(spark, folder, "chunks"), how=how, positions=how is L.UNICODE61, only=L.query_terms(questions, how))
     scores = L.bm25(index, questions, order).withColumn("score", F.round("score", 9))
     return L.best_of(scores, 10, F.desc("score")).select("query_id", F.col("key").alias("chunk_id"), F.round("score", 6).alias("score"), "position")
 
