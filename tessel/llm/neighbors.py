@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.operators.sizes import fits_broadcast
 from tessel.runtime import bounded_sample, materialize
 
 K, WIDTH = 5, 64
@@ -188,7 +189,7 @@ def nearest(
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), _binary(vectors)], names=["id", "vec"])
 
     sample = sorted(bounded_sample(source, "id", pivots, total).mapInArrow(read, "id long, vec binary").collect(), key=lambda r: (r["id"], r["vec"]))
-    points = np.frombuffer(b"".join(r["vec"] for r in sample), np.float32).reshape(-1, width)
+    points = np.frombuffer(b"".join(r["vec"] for r in sample), np.float32).reshape(-1, width) if sample else np.zeros((1, width), np.float32)
     sent = spark.sparkContext.broadcast(points)
     used = min(copies, max(1, len(points)))
 
@@ -205,13 +206,17 @@ def nearest(
     placed = materialize(source.mapInArrow(assign, "id long, vec binary, shards array<int>").withColumn("same", F.xxhash64("vec")))
 
     # More equal vectors than can be each other's neighbours: the first k + 1 stand for all.
-    many = placed.groupBy("same").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1).select("same")
-    crowd = placed.select("id", "same").join(many, "same")
-    first = crowd.withColumn("r", F.row_number().over(Window.partitionBy("same").orderBy("id"))).where(F.col("r") <= k + 1)
-    indexed = placed.join(many, "same", "left_anti").select("id", "vec", "shards").unionByName(
-        placed.join(first.select("id"), "id", "left_semi").select("id", "vec", "shards")
-    )
-    spared = crowd.join(first.select("id"), "id", "left_anti")
+    many = materialize(placed.groupBy("same").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1).select("same"))
+    spared = first = None
+    indexed = placed.select("id", "vec", "shards")
+    if not many.isEmpty():
+        many = fits_broadcast(many)
+        crowd = placed.select("id", "same").join(many, "same")
+        first = materialize(crowd.withColumn("r", F.row_number().over(Window.partitionBy("same").orderBy("id"))).where(F.col("r") <= k + 1))
+        spared = materialize(crowd.join(first, ["same", "id"], "left_anti"))
+        indexed = placed.join(many, "same", "left_anti").select("id", "vec", "shards").unionByName(
+            placed.join(many, "same", "left_semi").join(fits_broadcast(first.select("same", "id")), ["same", "id"], "left_semi").select("id", "vec", "shards")
+        )
 
     sizes = placed.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART_ROWS)
     parts = {r["shard"]: -(-r["n"] // PART_ROWS) for r in sizes.collect()}
@@ -242,8 +247,12 @@ def nearest(
     hits = rows.groupBy("shard", "part").applyInArrow(search, "id long, found array<struct<far:double,id:long>>")
     merged = hits.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found"))
     listed = merged.select("id", F.posexplode("found").alias("p", "hit")).select("id", F.col("hit.id").alias("neighbor"), (-F.col("hit.far")).alias("similarity"), (F.col("p") + 1).alias("position"))
-    copied = spared.join(first.where(F.col("r") <= k).select("same", F.col("id").alias("neighbor"), "r"), "same").select("id", "neighbor", F.lit(1.0).alias("similarity"), F.col("r").alias("position"))
-    return listed.unionByName(copied).select(F.col("id").cast(kind).alias(key_col), F.col("neighbor").cast(kind).alias("neighbor"), "similarity", "position")
+    if spared is None:
+        out = listed
+    else:
+        copied = spared.join(first.where(F.col("r") <= k).select("same", F.col("id").alias("neighbor"), "r"), "same").select("id", "neighbor", F.lit(1.0).alias("similarity"), F.col("r").alias("position"))
+        out = listed.unionByName(copied)
+    return out.select(F.col("id").cast(kind).alias(key_col), F.col("neighbor").cast(kind).alias("neighbor"), "similarity", "position")
 
 
 def _top(sims: np.ndarray, n: int) -> np.ndarray:
