@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessel.runtime import bounded_sample
+
 BITS = 17
 SENTENCES = 3
 #: Labelled documents that a classifier is fitted on; those with the smallest hash of their key.
@@ -201,8 +203,7 @@ def fit_subjects(
     folder = F.regexp_replace(F.element_at(F.split(F.col(path_col), "/"), 1), r"[-\d]+$", "") if path_col else F.lit(None).cast("string")
     docs = documents.select(documents[key_col].alias("_k"), documents[text_col].alias("_t"), folder.alias("_folder")).where(F.char_length("_t") > 0)
     hand = docs.join(known, "_k")
-    order = [F.xxhash64("_k"), F.col("_k")]
-    sample = hand.select("_k", "_t", "_labels").orderBy(*order).limit(fit_documents).collect()
+    sample = bounded_sample(hand.select("_k", "_t", "_labels"), "_k", fit_documents, known.count()).collect()
     texts, sets = [r["_t"] for r in sample], [set(r["_labels"]) for r in sample]
 
     if path_col and len(sample) < fit_documents:
@@ -213,7 +214,8 @@ def fit_subjects(
         pairs = pairs.withColumn("total", total).where(F.col("n") >= FOLDER_SUPPORT).collect()
         telling = {r["_folder"]: r["_s"] for r in pairs if r["n"] / r["total"] > FOLDER_LIFT * max(0.01, usual[r["_s"]])}
         if telling:
-            weak = docs.where(F.col("_folder").isin(list(telling))).join(known, "_k", "left_anti").orderBy(*order).limit(fit_documents - len(sample)).collect()
+            weak = docs.where(F.col("_folder").isin(list(telling))).join(known, "_k", "left_anti")
+            weak = bounded_sample(weak, "_k", fit_documents - len(sample)).collect()
             texts += [r["_t"] for r in weak]
             sets += [{telling[r["_folder"]]} for r in weak]
     return train(texts, sets, names)
