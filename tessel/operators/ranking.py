@@ -16,7 +16,9 @@ SEMANTIC, LEXICAL = "semantic", "lexical"
 # Defaults of the engine.
 SEMANTIC_WEIGHT, LEXICAL_WEIGHT, TEMPERATURE, RRF_K = 0.7, 0.3, 1.0, 60
 
-_pool = Window.partitionBy("query_id", "source")
+
+def _pool():
+    return Window.partitionBy("query_id", "source")
 
 
 class Norm(Protocol):
@@ -43,7 +45,7 @@ class MinMax:
     name: str = "minmax"
 
     def prepared(self) -> Column:
-        low, high = F.min("raw").over(_pool), F.max("raw").over(_pool)
+        low, high = F.min("raw").over(_pool()), F.max("raw").over(_pool())
         return F.when(high == low, 1.0).otherwise((F.col("raw") - low) / (high - low))
 
 
@@ -59,9 +61,9 @@ class Softmax:
             raise ValueError("temperature must be positive")
 
     def prepared(self) -> Column:
-        top = F.max("raw").over(_pool)
+        top = F.max("raw").over(_pool())
         e = F.exp((F.col("raw") - top) / self.temperature)
-        return e / F.sum(e).over(_pool)
+        return e / F.sum(e).over(_pool())
 
 
 @dataclass(frozen=True)
@@ -114,11 +116,11 @@ class ReciprocalRank:
 
 def prepare(pools: DataFrame, norm: Norm | None) -> DataFrame:
     """The pools with pool_size, place (row number), pool_rank (equal scores share the first) and prepared (raw without a norm)."""
-    order = _pool.orderBy(F.desc("raw"))
+    order = _pool().orderBy(F.desc("raw"))
     return pools.select(
         "*",
-        F.count(F.lit(1)).over(_pool).alias("pool_size"),
-        F.row_number().over(_pool.orderBy(F.desc("raw"), "key")).alias("place"),
+        F.count(F.lit(1)).over(_pool()).alias("pool_size"),
+        F.row_number().over(_pool().orderBy(F.desc("raw"), "key")).alias("place"),
         F.rank().over(order).alias("pool_rank"),
         (norm.prepared() if norm else F.col("raw").cast("double")).alias("prepared"),
     )

@@ -170,6 +170,17 @@ class VersionedTable:
         rows.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")).write.parquet(at)
         return self.commit(deletions=[at], **options)
 
+    def delete_matching(self, keys: DataFrame, on: list[str], **options) -> int | None:
+        """Commit a deletion vector for the rows whose key columns are among `keys`; None if there are no rows at all."""
+        paths = [f["path"] for f in self.files()]
+        if not paths:
+            return None
+        rows = self.spark.read.schema(self.schema).parquet(*paths)
+        marked = rows.select(*on, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        at = f"{self.path}/deletions/{uuid.uuid4().hex}"
+        marked.join(keys.select(*on).distinct(), on, "left_semi").select("_file", "_row").write.parquet(at)
+        return self.commit(deletions=[at], **options)
+
     def commit_snapshot(self, rows: DataFrame, key: str, buckets: int = 16, **options) -> int:
         """Make the table equal to `rows`, writing only the buckets of the key whose content differs.
 
