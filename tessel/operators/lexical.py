@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessel.functions.text import fold, folded_letters
 from tessel.operators.sizes import fits_broadcast
+from tessel.runtime import materialize, spread
 
 # BM25's parameters, and the weight of terms that most documents have.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -102,13 +103,19 @@ def invert(df: DataFrame, text_col: str = "text", key_col: str = "chunk_id", how
     the postings (not the lengths and counts) to some terms, for an index that
     is made for one batch of queries and not kept.
     """
-    docs = df.select(df[key_col].alias("key"), how.terms(df[text_col]).alias("terms"))
-    tokens = docs.select("key", F.posexplode("terms").alias("position", "term")) if positions else docs.select("key", F.explode("terms").alias("term"))
+    docs = spread(df.select(df[key_col].alias("key"), df[text_col].alias("text"))).select("key", how.terms(F.col("text")).alias("terms"))
+    if only is None:
+        lengths = docs.select("key", F.size("terms").alias("length"))
+        tokens = docs.select("key", F.posexplode("terms").alias("position", "term")) if positions else docs.select("key", F.explode("terms").alias("term"))
+    else:
+        # The texts are read once; what is kept of them is their length and the terms asked for.
+        wanted = sorted(set(only))
+        numbered = F.transform("terms", lambda t, i: F.struct(i.alias("position"), t.alias("term")))
+        kept = materialize(docs.select("key", F.size("terms").alias("length"), F.filter(numbered, lambda x: x["term"].isin(wanted)).alias("hits")))
+        lengths = kept.select("key", "length")
+        tokens = kept.select("key", F.explode("hits").alias("h")).select("key", "h.position", "h.term")
     places = [F.sort_array(F.collect_list("position")).alias("positions")] if positions else []
-    if only is not None:
-        tokens = tokens.where(F.col("term").isin(sorted(set(only))))
     postings = tokens.groupBy("term", "key").agg(F.count(F.lit(1)).alias("tf"), *places)
-    lengths = docs.select("key", F.size("terms").alias("length"))
     stats = lengths.agg(F.count(F.lit(1)).alias("documents"), (F.sum("length").cast("double") / F.count(F.lit(1))).alias("mean"))
     return InvertedIndex(postings, lengths, stats, how)
 

@@ -78,3 +78,15 @@ def bounded_sample(df: DataFrame, key: str, most: int, total: int | None = None)
     if total > 2 * most:
         df = df.where(mark < int(spread * (1.5 * most + 50) / total))
     return df.orderBy(mark, key).limit(most)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan's rows on all cores, where the files give fewer partitions than there are cores.
+
+    For costly work on tables of a file or two. Larger tables have more
+    partitions than cores and are left as they are, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)
