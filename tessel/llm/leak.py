@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessel.runtime import spread
+
 SEED = 3
 RUN = 12
 REPLACED = 0.1
@@ -141,7 +143,7 @@ def leaked(
     kind, item_kind = corpus.schema[key_col].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     schema = f"`{key_col}` {kind}, `{item_key}` {item_kind}, words int, passages array<struct<start:int,stop:int>>"
     out_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-    source = corpus.select(corpus[key_col], corpus[text_col]).where(corpus[text_col].isNotNull())
+    source = spread(corpus.select(corpus[key_col], corpus[text_col]).where(corpus[text_col].isNotNull()))
 
     def scan(block: list[tuple[object, str]]) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)

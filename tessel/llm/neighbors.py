@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessel.operators.sizes import fits_broadcast
-from tessel.runtime import bounded_sample, materialize
+from tessel.runtime import bounded_sample, materialize, spread
 
 K, WIDTH = 5, 64
 FACTOR = 0.25
@@ -203,7 +203,7 @@ def nearest(
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * used, pa.int32()), pa.array(shards.ravel(), pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), _binary(vectors), listed], names=["id", "vec", "shards"])
 
-    placed = materialize(source.mapInArrow(assign, "id long, vec binary, shards array<int>").withColumn("same", F.xxhash64("vec")))
+    placed = materialize(spread(source).mapInArrow(assign, "id long, vec binary, shards array<int>").withColumn("same", F.xxhash64("vec")))
 
     # More equal vectors than can be each other's neighbours: the first k + 1 stand for all.
     many = materialize(placed.groupBy("same").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > k + 1).select("same"))

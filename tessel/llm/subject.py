@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessel.runtime import bounded_sample
+from tessel.runtime import bounded_sample, spread
 
 BITS = 17
 SENTENCES = 3
@@ -167,15 +167,15 @@ def train(texts: list[str], labels: list[set[str]], names: list[str], bits: int
     thresholds = np.zeros(len(names), np.float32)
     if held.any():
         at = doc[held[doc]]
+        tried = np.arange(-1.5, 2.01, 0.25)
         for s in range(len(names)):
-            best = -1.0
-            for cut in (-1.0, -0.5, 0.0, 0.5, 1.0, 1.5, 2.0):
+            quality = []
+            for cut in tried:
                 on = np.bincount(at, second[held[doc], s] > cut, minlength=len(texts))[held] >= least
                 right = (on & (truth[held, s] > 0)).sum()
-                f1 = 2 * right / max(1, on.sum() + truth[held, s].sum())
-                # Of equal thresholds the one nearest to even odds.
-                if f1 > best + 1e-9 or abs(f1 - best) < 1e-9 and abs(cut) < abs(thresholds[s]):
-                    best, thresholds[s] = f1, cut
+                quality.append(2 * right / max(1, on.sum() + truth[held, s].sum()))
+            # Many thresholds do about equally well; their middle is the steadiest.
+            thresholds[s] = np.median(tried[np.array(quality) >= max(quality) - 0.01])
     weights, bias = fit(targets * (score(*fit(targets, everything)) > np.log(0.35 / 0.65)), everything)
     return Subjects(names, weights, bias, thresholds, bits)
 
@@ -257,4 +257,4 @@ def assign_subjects(documents: DataFrame, model: Subjects, subjects: DataFrame |
                 )
 
     kind = documents.schema[key_col].dataType.simpleString()
-    return documents.select(documents[key_col], documents[text_col]).where(F.char_length(documents[text_col]) > 0).mapInArrow(run, f"`{key_col}` {kind}, subject string, sentences int")
+    return spread(documents.select(documents[key_col], documents[text_col]).where(F.char_length(documents[text_col]) > 0)).mapInArrow(run, f"`{key_col}` {kind}, subject string, sentences int")

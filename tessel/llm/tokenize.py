@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tessel.runtime import spread
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 # Fixed value: the word pattern published with the vocabulary.
@@ -191,4 +193,4 @@ def encode_corpus(
                 yield pa.RecordBatch.from_arrays([part.column(0), encoder.encode_batch(part.column(1).to_pylist())], names=[key_col, "ids"])
 
     kind = df.schema[key_col].dataType.simpleString()
-    return df.select(df[key_col], df[text_col]).mapInArrow(run, f"`{key_col}` {kind}, ids array<int>")
+    return spread(df.select(df[key_col], df[text_col])).mapInArrow(run, f"`{key_col}` {kind}, ids array<int>")
