@@ -106,21 +106,20 @@ def mine(ws: Workspace, args) -> dict:
 
 def _keyed(index):
     """Chunks and vectors with one key column, digest of content and seq."""
-    from pyspark.sql import functions as F
+    from tessel.sources.index import chunk_key
 
-    key = F.concat_ws("#", "content_digest", F.lpad(F.col("seq").cast("string"), 10, "0"))
-    return index.read("chunks").withColumn("chunk_id", key), index.read("chunk_vectors").withColumn("chunk_id", key)
+    return index.read("chunks").withColumn("chunk_id", chunk_key()), index.read("chunk_vectors").withColumn("chunk_id", chunk_key())
 
 
 def _candidates(ws: Workspace, index, text: str, top_k: int):
-    from tessel.operators.lexical import invert, query_terms, strategy
+    from tessel.operators.lexical import query_terms, strategy
     from tessel.operators.search import Query, candidates
     from tessel.plans.retrieval import build_plan
 
     r = {k: v for k, v in ws.settings["retrieval"].items() if k != "top_k"}
     chunks, vectors = _keyed(index)
     how = strategy(ws.settings["lexical"]["tokenizer"])
-    inverted = invert(chunks, how=how, only=query_terms([(1, text)], how))
+    inverted = index.inverted(how, query_terms([(1, text)], how))
     query = Query(1, text, ws.embedder().embed_query(text) if text.strip() else [])
     return chunks, candidates(vectors, inverted, [query], build_plan(**r), top_k, ws.settings["lexical"]["order"], "string")
 

@@ -1,4 +1,4 @@
-"""The index: files, chunks and vectors as versioned tables under one head.
+"""The index: files, chunks, vectors and the inverted index as versioned tables under one head.
 
 A head names one version of each table. Writers add versions to the tables and
 then one head, which is created exclusively; readers read the newest head, so
@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessel.operators.detect import MISSING
-from tessel.schema import CHUNKS, FILES, VECTORS
+from tessel.operators.lexical import STRATEGIES, InvertedIndex, Strategy, invert
+from tessel.schema import CHUNKS, FILES, LENGTHS, POSTINGS, VECTORS
 from tessel.sources.versioned import VersionedTable
 
 SCHEMA_VERSION = 1
-TABLES: dict[str, T.StructType] = {"files": FILES, "chunks": CHUNKS, "chunk_vectors": VECTORS}
+TABLES: dict[str, T.StructType] = {"files": FILES, "chunks": CHUNKS, "chunk_vectors": VECTORS, "postings": POSTINGS, "lengths": LENGTHS}
 
 
 class IndexError_(RuntimeError):
@@ -58,6 +59,11 @@ def issues(found: Meta, model_id: str | None, dimension: int | None, index_form:
     return out
 
 
+def chunk_key():
+    """One column that names a chunk: its content and seq, in the order of both."""
+    return F.concat_ws("#", "content_digest", F.lpad(F.col("seq").cast("string"), 10, "0"))
+
+
 class Index:
     """The tables of one workspace."""
 
@@ -102,13 +108,33 @@ class Index:
         t.delete_matching(gone.distinct(), ["path"])
         versions["files"] = t.commit(files)
         live = t.read().select("content_digest").distinct()
-        for name, rows in (("chunks", chunks), ("chunk_vectors", vectors)):
+        terms = lengths = None
+        if chunks is not None:
+            terms, lengths = self._inverted(chunks.join(known, "content_digest", "left_anti"))
+        for name, rows in (("chunks", chunks), ("chunk_vectors", vectors), ("postings", terms), ("lengths", lengths)):
             own = self.tables[name]
             dead = self.read(name).select("content_digest").distinct().join(live, "content_digest", "left_anti")
             own.delete_matching(dead, ["content_digest"])
             versions[name] = own.commit(rows.join(known, "content_digest", "left_anti") if rows is not None else None)
         return self._publish(base, versions)
 
+    def _inverted(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Postings and lengths of new chunks. Postings lie by term, so that a query's terms prune row groups."""
+        index = invert(chunks.withColumn("k", F.struct("content_digest", "seq")), key_col="k", how=self.strategy())
+        postings = index.postings.select("term", "key.content_digest", "key.seq", "tf", "positions")
+        return postings.repartitionByRange("term").sortWithinPartitions("term"), index.lengths.select("key.content_digest", "key.seq", "length")
+
+    def strategy(self) -> Strategy:
+        """The tokenizer that the index was made with."""
+        return next(s for s in STRATEGIES.values() if s.index_form == self.meta().tokenizer)
+
+    def inverted(self, how: Strategy, only: list[str]) -> InvertedIndex:
+        """The kept inverted index for some terms, with chunk_key as key: a query reads its terms' postings, not the texts."""
+        postings = self.read("postings").where(F.col("term").isin(sorted(set(only)))).select("term", chunk_key().alias("key"), "tf", "positions")
+        lengths = self.read("lengths").select(chunk_key().alias("key"), "length")
+        stats = lengths.agg(F.count(F.lit(1)).alias("documents"), (F.sum("length").cast("double") / F.count(F.lit(1))).alias("mean"))
+        return InvertedIndex(postings, lengths, stats, how)
+
     def remove_files(self, paths: DataFrame) -> int:
         return self.replace_files(self.spark.createDataFrame([], FILES), removed=paths)
 
