@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tessel.operators import lexical as L
 from tessel.operators import search as S
 from tessel.operators.evaluate import by_bucket, query_metrics
-from tessel.operators.ranking import Linear, MinMax, Softmax, prepare, ranked
+from tessel.operators.ranking import Linear, MinMax, Softmax
 from tessel.plans.retrieval import RetrievalPlan, build_plan
 from tessel.queries.dense import ASKED_SQL, VECTORS_SQL, asked_vectors
 from tessel.queries.lexical import QUESTIONS, TERMS, _bm25_sql
