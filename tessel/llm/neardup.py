@@ -6,16 +6,17 @@ most n + m - 2 t max(n, m). A parity sketch XORs the words' hashes into the bits
 or the segments of a sketch; words that both texts have cancel out, so the
 Hamming distance of two sketches never exceeds the symmetric difference.
 
-* Candidates: the words of a text are dealt to the segments of a sketch by
-  their hash; one segment holds the XOR of its words' 64-bit hashes. By the
-  pigeonhole principle texts that differ in fewer words than there are segments
-  have an equal one, so sketches of one size band are joined on segments.
+* Candidates: for each of many dealings a text's words are put into the order of
+  their hashes, and the first that together tell enough to be rare make a key,
+  on which sketches are joined. Texts are dealt as often as it takes to miss a
+  pair at the threshold with at most the chance MISS; how many words a key has
+  follows the number of texts, and the number of dealings follows that. Short
+  texts are joined on what remains after every deletion that the threshold allows.
 * Filter: the Hamming distance of 512-bit parity sketches.
 * Verification: the exact word bags.
 
-Words that many texts have make segments alike by chance, so they stay out of
-the segments; which words these are is measured over all texts. Two dealings
-with other hashes double the segments.
+Words that many texts have make keys alike by chance, so they stay out of the
+keys; which words these are is measured over all texts.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache, reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +37,19 @@ from pyspark.sql import functions as F
 from tessel.runtime import materialize, spread
 
 THRESHOLD = 0.75
-DEALINGS = 2
-#: Words in more than 2^-COMMON of the texts stay out of the segments; words in fewer than 2^-RARE count as if in that many.
+#: The chance that a pair at the threshold is missed, where its texts differ in words taken evenly from them.
+MISS = 0.01
+#: Texts are dealt in steps of so many. Texts that need more than MOST_DEALINGS of informative words, or are shorter than BRIEF, also get keys of all their words.
+STEP, MOST_DEALINGS, BRIEF = 8, 128, 32
+#: A key never has more words than this; where these tell too little, there are more candidates, not fewer pairs.
+KEY_WORDS = 5
+#: A pair whose shorter text has at most so many words is found for certain.
+SHORT = 7
+#: Words in more than 2^-COMMON of the texts stay out of the keys; words in fewer than 2^-RARE count as if in that many.
 COMMON, RARE = 4.0, 10.0
-#: Words in no more texts than this are never too common. Texts of which less than this share of the words is left also get segments of all their words.
+#: Words in no more texts than this are never too common. Texts of which less than this share of the words is left also get keys of all their words.
 FEW_TEXTS, LITTLE_LEFT, LEAST_BITS = 64, 0.35, 0.5
-#: A segment is joined on if fewer than 2^-SLACK texts of the band are expected to have an equal one by chance.
+#: A key has enough words if fewer than 2^-SLACK texts are expected to have an equal one by chance.
 SLACK = 4.0
 #: The table of word frequencies that is broadcast never has more rows than this; by definition it has at most 2^RARE for each word of a mean text.
 FREQUENT_WORDS = 1 << 20
@@ -158,13 +168,12 @@ def _counts(texts: DataFrame) -> DataFrame:
 
 
 class Plan:
-    """Word frequencies and, for each size band, the number of segments and the bits one must hold."""
+    """Word frequencies, and the bits that a key must hold."""
 
     def __init__(self, counts: list[tuple[str, int, int]], threshold: float = THRESHOLD):
         self.threshold = threshold
         self.bands = {w: n for kind, w, n in counts if kind == "band"}
         texts = max(1, sum(self.bands.values()))
-        total = max(1, sum(n for kind, _, n in counts if kind == "words"))
         frequent = sorted((w, n) for kind, w, n in counts if kind == "word")
         self.words = np.array([w for w, _ in frequent], np.int64).view(np.uint64)
         self.words_order = np.argsort(self.words)
@@ -173,15 +182,7 @@ class Plan:
         bits = np.where(few, np.maximum(bits, COMMON), np.maximum(bits, LEAST_BITS))[self.words_order].astype(np.float32)
         self.all_bits, self.bits = bits, np.where(bits >= COMMON, bits, np.float32(0))
         self.words = self.words[self.words_order]
-        counted = np.array([n for _, n in frequent], float)[self.words_order] if frequent else np.zeros(0)
-        mean = (float((counted * self.bits).sum()) + max(0.0, total - float(counted.sum())) * RARE) / total
-        self.need, self.segments, self.all_segments = np.zeros(64), np.ones(64, np.int64), np.ones(64, np.int64)
-        for band in range(64):
-            size = 1.4 * 2.0**band
-            self.need[band] = math.log2(max(2, self.bands.get(band, 1) + self.bands.get(band - 1, 0))) + SLACK
-            most = int(size * (2 - 2 * threshold)) + 1
-            self.segments[band] = max(1, min(most, int(mean * size / (self.need[band] + 2)), 1 << 16))
-            self.all_segments[band] = max(1, min(most, int(size / (self.need[band] + 2)), 1 << 16))
+        self.need = math.log2(max(2, texts)) + SLACK
 
     def information(self, flat: np.ndarray, every: bool = False) -> np.ndarray:
         """Bits that each word tells; 0 for those left out, if any are."""
@@ -202,8 +203,75 @@ def _numbered(flat: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return _mixed(w + times.astype(np.uint64) * _GOLD), w, o
 
 
+@lru_cache(1 << 16)
+def dealings(n: int, m: int, tenths: int, threshold: float = THRESHOLD) -> int:
+    """How often a text of n words, m of which may be in keys of tenths/10 words, is dealt so that a pair at the threshold is missed with a chance of MISS.
+
+    Both texts have the words in which they differ taken evenly from all n. One
+    more than MOST_DEALINGS if that many do not suffice.
+    """
+    few, part = divmod(tenths, 10)
+    r = n - math.ceil(threshold * n)
+    ways, chances = math.lgamma(n + 1) - math.lgamma(r + 1) - math.lgamma(n - r + 1), []
+    for d in range(max(0, r - (n - m)), min(r, m) + 1):
+        taken = math.lgamma(m + 1) - math.lgamma(d + 1) - math.lgamma(m - d + 1) + math.lgamma(n - m + 1) - math.lgamma(r - d + 1) - math.lgamma(n - m - r + d + 1)
+        hit = [math.prod(max(0, m - d - i) / (m + d - i) for i in range(min(k, m))) for k in (few, few + 1)]
+        chances.append((math.exp(taken - ways), 1 - (hit[0] * (10 - part) + hit[1] * part) / 10))
+    low, high = 1, MOST_DEALINGS + 1
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if sum(h * q**middle for h, q in chances) <= MISS else (middle + 1, high)
+    return low
+
+
+def _dealt(tokens: np.ndarray, value: np.ndarray, owner: np.ndarray, info: np.ndarray, chosen: np.ndarray, n: np.ndarray, plan: Plan) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Keys of the chosen words, the texts that they belong to, and each text's number of dealings."""
+    texts = len(n)
+    keys: list[np.ndarray] = []
+    texts_of: list[np.ndarray] = []
+    times = np.full(texts, STEP)
+    size, count = np.zeros(texts), np.bincount(owner[chosen], minlength=texts)
+    done = 0
+    while chosen.any():
+        t, v, o, i = tokens[chosen], value[chosen], owner[chosen], info[chosen]
+        who, begin, own = np.unique(o, return_index=True, return_counts=True)
+        if len(who) > 1 << 14:
+            raise ValueError("at most 16,384 texts at a time")
+        high = np.repeat(np.arange(len(who), dtype=np.uint64), own) << _U(50)
+        place = begin[:, None] + np.arange(KEY_WORDS)
+        there = np.arange(KEY_WORDS) < own[:, None]
+        place = np.where(there, place, 0)
+        for dealing in range(done, done + STEP):
+            order = np.argsort(high | (_mixed(t + np.uint64((dealing + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> _U(14)))
+            at = order[place]
+            told = np.where(there, i[at], 0)
+            # A key ends with the word that makes it rare enough.
+            taken = there & (np.cumsum(told, 1) - told < plan.need)
+            use = dealing < times[who]
+            keys.append(_mixed(np.bitwise_xor.reduce(np.where(taken, v[at], _U(0)), axis=1))[use])
+            texts_of.append(who[use])
+            if not done:
+                size[who] += taken.sum(1)
+        if not done:
+            for k in who.tolist():
+                times[k] = dealings(int(n[k]), int(count[k]), min(10 * KEY_WORDS, math.ceil(size[k] / STEP * 10)), plan.threshold)
+        done += STEP
+        chosen = chosen & (times > done)[owner]
+    return keys, texts_of, times
+
+
+def _remainders(values: np.ndarray, threshold: float) -> np.ndarray:
+    """Keys of a short text: what is left of it after each deletion of as many words as the threshold allows, or fewer."""
+    whole = int(np.bitwise_xor.reduce(values))
+    allowed = len(values) - math.ceil(threshold * len(values))
+    gone = [0]
+    for k in range(1, allowed + 1):
+        gone += [int(np.bitwise_xor.reduce(np.array(c))) for c in combinations(values, k)]
+    return _mixed(np.array([whole ^ g for g in gone], np.uint64) + _MIX)
+
+
 def sketch(flat: np.ndarray, starts: np.ndarray, plan: Plan) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Parity sketches, and each text's segment keys."""
+    """Parity sketches, and each text's join keys."""
     n = np.diff(starts)
     texts = len(n)
     owner = np.repeat(np.arange(texts), n)
@@ -212,44 +280,29 @@ def sketch(flat: np.ndarray, starts: np.ndarray, plan: Plan) -> tuple[np.ndarray
     bit = tokens % _U(PARITY_BITS)
     np.bitwise_xor.at(parity, (owner, (bit >> _U(6)).astype(np.int64)), _U(1) << (bit & _U(63)))
 
-    info = plan.information(plain)
+    info, every = plan.information(plain), plan.information(plain, True)
     left = np.bincount(owner[info > 0], minlength=texts)
-    poor = left < LITTLE_LEFT * n
-    band, reach = band_of(n), band_of(n / plan.threshold)
-    keys: list[np.ndarray] = []
-    texts_of: list[np.ndarray] = []
-
-    def deal(chosen: np.ndarray, info: np.ndarray, segments: np.ndarray, variant: int) -> None:
-        for step in (0, 1):
-            inside = chosen & (band + step <= reach)[owner]
-            t, o, i = tokens[inside], owner[inside], info[inside]
-            b = (band + step)[o]
-            for dealing in range(DEALINGS):
-                dealt = _mixed(t + _U(dealing + 1) * _GOLD)
-                place = o * (1 << 17) + ((dealt >> _U(20)) % segments[b].astype(np.uint64)).astype(np.int64)
-                order = np.argsort(place, kind="stable")
-                if not len(order):
-                    continue
-                place, begin = np.unique(place[order], return_index=True)
-                value = np.bitwise_xor.reduceat(dealt[order], begin)
-                told = np.add.reduceat(i[order], begin)
-                own = place >> 17
-                # A text that is too small to tell anything still has its segments when they hold all of it.
-                whole = np.bincount(own, minlength=texts)[own] == 1
-                enough = (told >= plan.need[band[own] + step]) | whole
-                name = (place & ((1 << 17) - 1)).astype(np.uint64) * _U(1031) + (band[own] + step).astype(np.uint64) * _U(8) + _U(dealing + 4 * variant)
-                keys.append(_mixed(value ^ (name * _GOLD))[enough])
-                texts_of.append(own[enough])
-
-    deal(info > 0, info, plan.segments, 0)
-    if poor.any():
-        # What most texts have is all that these have; a group of edited copies can make its own words common.
-        deal(poor[owner], plan.information(plain, True), plan.all_segments, 1)
+    value = _mixed(tokens + _GOLD)
+    longer = (n > SHORT)[owner]
+    keys, texts_of, times = _dealt(tokens, value, owner, info, longer & (info > 0), n, plan)
+    # What most texts have is all that these have; a group of edited copies can make its own words common.
+    poor = (left < LITTLE_LEFT * n) | (n < BRIEF) | (times > MOST_DEALINGS)
+    more, owners, _ = _dealt(tokens, value, owner, every, longer & poor[owner], n, plan)
+    keys, texts_of = keys + more, texts_of + owners
+    begin = np.concatenate([[0], np.cumsum(n)])
+    for k in np.flatnonzero((n > 0) & (n * plan.threshold <= SHORT)):
+        own = _remainders(value[begin[k] : begin[k + 1]], plan.threshold)
+        keys.append(own)
+        texts_of.append(np.full(len(own), k))
     if not keys:
         return parity, [np.zeros(0, np.int64)] * texts
     owner, key = np.concatenate(texts_of), np.concatenate(keys).view(np.int64)
-    order = np.argsort(owner, kind="stable")
-    return parity, np.split(key[order], np.cumsum(np.bincount(owner, minlength=texts))[:-1])
+    order = np.lexsort((key, owner))
+    owner, key = owner[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+    owner, key = owner[new], key[new]
+    return parity, np.split(key, np.cumsum(np.bincount(owner, minlength=texts))[:-1])
 
 
 def _sketches(texts: DataFrame, plan: Plan) -> DataFrame:
@@ -309,9 +362,10 @@ def near_duplicates(df: DataFrame, text_col: str = "text", key_col: str = "chunk
 
     Copies are collapsed before the join, so a group of copies of any size adds
     one text to it. What is sent to all tasks is the plan, with at most
-    FREQUENT_WORDS words. Found for certain is every pair that differs in fewer
-    informative words than its band has segments; beyond that, with the chance
-    that no segment of either dealing stays whole.
+    FREQUENT_WORDS words. A pair at the threshold is missed with a chance of about
+    MISS at every number of texts if its texts differ in words taken evenly from
+    them, a closer pair more rarely; pairs with a text of at most SHORT words are
+    found for certain. Where all differing words are rare ones the chance is higher.
     """
     spark = df.sparkSession
     texts = df.select(df[key_col].alias("id"), df[text_col].alias("text")).where(F.col("id").isNotNull() & (F.char_length("text") > 0))
@@ -333,13 +387,18 @@ def near_duplicates(df: DataFrame, text_col: str = "text", key_col: str = "chunk
     close = (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n"))
     candidates = a.join(b, (F.col("a.key") == F.col("b.key")) & close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
-    def side(name: str) -> DataFrame:
-        return reps.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("n", *PARITY)))
-
-    sketched = candidates.join(side("a"), "a").join(side("b"), "b")
-    apart: Column = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in PARITY), F.lit(0))
+    # Folded sketches never differ in more bits than whole ones; a quarter as wide, they spare most candidates the wide joins.
+    folded = {f"f{k}": reduce(lambda x, y: x.bitwiseXOR(y), (F.col(s) for s in PARITY[k::2])) for k in range(2)}
     bound = F.col("n_a") + F.col("n_b") - 2 * F.ceil(F.lit(threshold) * F.greatest("n_a", "n_b"))
-    likely = materialize(sketched.where(apart <= bound).select("a", "b"))
+
+    def side(name: str, parts: dict[str, Column]) -> DataFrame:
+        return reps.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), *(c.alias(f"{s}_{name}") for s, c in parts.items()))
+
+    def passing(pairs: DataFrame, parts: dict[str, Column]) -> DataFrame:
+        apart: Column = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in parts), F.lit(0))
+        return pairs.join(side("a", parts), "a").join(side("b", parts), "b").where(apart <= bound).select("a", "b")
+
+    likely = materialize(passing(passing(candidates, folded), {s: F.col(s) for s in PARITY}))
 
     ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
     wanted = texts.join(ids, "id", "left_semi")

@@ -1,8 +1,9 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 
-from tessel.llm.neardup import all_pairs, classes, near_duplicates, words_of
+from tessel.llm.neardup import Plan, all_pairs, classes, near_duplicates, sketch, words_of
 
 
 def brute(rows, t=0.75):
@@ -64,3 +65,25 @@ def test_a_group_of_edited_copies_that_is_a_third_of_all(spark):
 def test_empty(spark):
     links, members = near_duplicates(spark.createDataFrame([], "chunk_id long, text string"))
     assert links.count() == 0 and members.count() == 0 and classes(links, members).count() == 0
+
+
+@pytest.mark.parametrize("texts", [24_000, 2_400_000])
+@pytest.mark.parametrize("size,replaced", [(6, 1), (13, 3), (20, 5), (28, 7), (60, 15), (100, 25)])
+def test_pairs_at_the_threshold_share_a_key_at_every_size(texts, size, replaced):
+    rng = np.random.default_rng(5)
+    vocabulary = np.unique(rng.integers(1, 2**63, 6000).astype(np.uint64)) | np.uint64(1)
+    # Half of a text's words are common ones, as in the test data.
+    often = np.where(np.arange(len(vocabulary)) < 60, texts // 8, texts // 300)
+    plan = Plan([("band", 4, texts), ("words", 0, 100 * texts), *(("word", int(w), int(n)) for w, n in zip(vocabulary.view(np.int64), often))])
+
+    def drawn(k):
+        return np.concatenate([rng.choice(vocabulary[:60], k // 2, False), rng.choice(vocabulary[60:], k - k // 2, False)])
+
+    shared = 0
+    for _ in range(300):
+        a = rng.permutation(drawn(size))
+        b = a.copy()
+        b[:replaced] = drawn(size)[:replaced] if replaced < 4 else drawn(replaced)
+        _, (x, y) = sketch(np.concatenate([a, b]), np.array([0, size, 2 * size]), plan)
+        shared += bool(np.isin(x, y).any())
+    assert shared >= 0.97 * 300
