@@ -169,7 +169,7 @@ class _Events(HTMLParser):
                 if self.code or self.line.strip():
                     kept = self.kept
                     self.end_line()
-                    self.kept = kept and bool(self.code)
+                    self.kept = kept
                 elif self.lines and self.lines[-1][0]:
                     self.lines.append(("", 0, True))
             self.line += part
@@ -182,9 +182,9 @@ class _Events(HTMLParser):
 def content_lines(lines: list[tuple[str, int, bool]], sigma: float = 1.5) -> list[str]:
     """The lines in content regions, by clustering the smoothed text-to-tag ratios.
 
-    Headings, list items, table rows and code belong to the content wherever
-    they stand next to some; a document of few lines or of even ratios is
-    content throughout.
+    Headings, list items, table rows and code belong to the content, all that
+    follow each other, wherever one of them stands near some; a document of few
+    lines or of even ratios is content throughout.
     """
     lines = [line for line in lines if line[0] or not line[1]]
     full = [k for k, (text, tags, _) in enumerate(lines) if text or tags]
@@ -207,7 +207,13 @@ def content_lines(lines: list[tuple[str, int, bool]], sigma: float = 1.5) -> lis
         return [text for text, _, _ in lines]
     dense = {k for k, s in zip(full, smooth) if s > border}
     near = {k + d for k in dense for d in range(-6, 7)}
-    return [text for k, (text, tags, kept) in enumerate(lines) if k in dense or tags == 0 or kept and k in near]
+    # Lists, tables and headings that follow each other stay whole or not at all.
+    stays, begin = [False] * len(lines), 0
+    for k in range(len(lines) + 1):
+        if k == len(lines) or not lines[k][2]:
+            stays[begin:k] = [any(x in near for x in range(begin, k) if lines[x][0])] * (k - begin)
+            begin = k + 1
+    return [text for k, (text, tags, _) in enumerate(lines) if k in dense or tags == 0 or stays[k]]
 
 
 def from_html(text: str) -> str:

@@ -46,3 +46,12 @@ def test_rows(spark):
     out = sorted((r.chunk_id, r.text, r.heading) for r in find_markup(df).collect())
     assert out == [(1, "a", None), (1, "a", None), (2, None, "h")]
     assert find_markup(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("item", ["<li>short entry no. {}</li>\n", "<tr><td>row no. {}</td><td>{}</td></tr>\n", "<li>a wrapped\nentry no. {}</li>\n"])
+def test_long_lists_and_tables_beside_paragraphs_stay_whole(item):
+    body = "".join("<p>" + "This paragraph has many plain words in a row. " * 9 + "</p>\n" for _ in range(3))
+    rows = "".join(item.replace("{}", str(i)) for i in range(100, 130))
+    inside = f"<table>{rows}</table>" if "<tr>" in item else f"<ul>\n{rows}</ul>"
+    for text in (from_html(body + inside), from_html(inside + body), from_html(body + "<h2>Head</h2>" + inside)):
+        assert all(f"no. {i}" in text for i in range(100, 130))
