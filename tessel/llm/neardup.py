@@ -6,17 +6,19 @@ most n + m - 2 t max(n, m). A parity sketch XORs the words' hashes into the bits
 or the segments of a sketch; words that both texts have cancel out, so the
 Hamming distance of two sketches never exceeds the symmetric difference.
 
-* Candidates: for each of many dealings a text's words are put into the order of
-  their hashes, and the first that together tell enough to be rare make a key,
-  on which sketches are joined. Texts are dealt as often as it takes to miss a
-  pair at the threshold with at most the chance MISS; how many words a key has
-  follows the number of texts, and the number of dealings follows that. Short
-  texts are joined on what remains after every deletion that the threshold allows.
+* Candidates: words are dealt onto a circle by their hashes; from each of a few
+  evenly spaced marks, the XOR of the words that follow, as many as together
+  tell enough to be rare, is a segment's parity, on which sketches are joined.
+  How many marks the text's size band has, and on how many circles, follows the
+  chance MISS that a pair at the threshold may have to agree in no segment; how
+  many words a segment has follows the number of texts. Short texts are joined
+  on what remains after every deletion that the threshold allows.
 * Filter: the Hamming distance of 512-bit parity sketches.
 * Verification: the exact word bags.
 
-Words that many texts have make keys alike by chance, so they stay out of the
-keys; which words these are is measured over all texts.
+Words that many texts have make segments alike by chance, so they are on a
+circle the more rarely the less they tell; what a word tells is measured over
+all texts.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -34,24 +36,29 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessel.operators.sizes import fits_broadcast
 from tessel.runtime import materialize, spread
 
 THRESHOLD = 0.75
-#: The chance that a pair at the threshold is missed, where its texts differ in words taken evenly from them.
-MISS = 0.01
-#: Texts are dealt in steps of so many. Texts that need more than MOST_DEALINGS of informative words, or are shorter than BRIEF, also get keys of all their words.
-STEP, MOST_DEALINGS, BRIEF = 8, 128, 32
-#: A key never has more words than this; where these tell too little, there are more candidates, not fewer pairs.
-KEY_WORDS = 5
+#: The chance that a pair at the threshold is missed, where its texts differ in words taken evenly from them, and what the number of segments is raised by, because the words on a circle are not quite evenly taken.
+MISS, MARGIN = 0.01, 1.25
+#: A circle has one mark for so many words, rounded down to a power of two, and at most MOST_MARKS; a text is on at most MOST_CIRCLES.
+WORDS_A_MARK, MOST_MARKS, MOST_CIRCLES = 8, 16, 256
+#: A segment never has more words than this; where these tell too little, there are more candidates, not fewer pairs.
+SEGMENT_WORDS = 8
 #: A pair whose shorter text has at most so many words is found for certain.
 SHORT = 7
-#: Words in more than 2^-COMMON of the texts stay out of the keys; words in fewer than 2^-RARE count as if in that many.
-COMMON, RARE = 4.0, 10.0
-#: Words in no more texts than this are never too common. Texts of which less than this share of the words is left also get keys of all their words.
-FEW_TEXTS, LITTLE_LEFT, LEAST_BITS = 64, 0.35, 0.5
-#: A key has enough words if fewer than 2^-SLACK texts are expected to have an equal one by chance.
-SLACK = 4.0
-#: The table of word frequencies that is broadcast never has more rows than this; by definition it has at most 2^RARE for each word of a mean text.
+#: A word that tells FULL bits or more is on every circle, others with the square of their share. Texts with less than PLENTY times what a segment needs on such a circle are also dealt whole, those with less than half of that only so.
+FULL, PLENTY = 8.0, 5
+#: Words in fewer than 2^-RARE of the texts count as if in that many; words in no more texts than FEW_TEXTS tell FULL bits at least, any word LEAST_BITS.
+RARE, FEW_TEXTS, LEAST_BITS = 12.0, 64, 0.5
+#: A segment has enough words if fewer than 2^-SLACK texts are expected to have an equal one by chance.
+SLACK = 1.0
+#: A key that more than so many texts are expected to share is joined in blocks.
+HOT = 2000
+#: One text in so many is looked at to find such keys.
+SAMPLED = 64
+#: The table of word frequencies that is broadcast never has more rows than this; by definition it has at most 2^RARE for each word of a mean text. What it has no room for are the rarest.
 FREQUENT_WORDS = 1 << 20
 PARITY_BITS = 512
 PARITY = [f"s{k}" for k in range(PARITY_BITS // 64)]
@@ -168,28 +175,25 @@ def _counts(texts: DataFrame) -> DataFrame:
 
 
 class Plan:
-    """Word frequencies, and the bits that a key must hold."""
+    """What words tell, and the bits that a segment must hold."""
 
     def __init__(self, counts: list[tuple[str, int, int]], threshold: float = THRESHOLD):
         self.threshold = threshold
-        self.bands = {w: n for kind, w, n in counts if kind == "band"}
-        texts = max(1, sum(self.bands.values()))
+        texts = max(1, sum(n for kind, _, n in counts if kind == "band"))
         frequent = sorted((w, n) for kind, w, n in counts if kind == "word")
-        self.words = np.array([w for w, _ in frequent], np.int64).view(np.uint64)
-        self.words_order = np.argsort(self.words)
-        bits = np.clip(-np.log2(np.maximum(1, np.array([n for _, n in frequent], float)) / texts), 0, RARE)
-        few = np.array([n for _, n in frequent], float) <= FEW_TEXTS
-        bits = np.where(few, np.maximum(bits, COMMON), np.maximum(bits, LEAST_BITS))[self.words_order].astype(np.float32)
-        self.all_bits, self.bits = bits, np.where(bits >= COMMON, bits, np.float32(0))
-        self.words = self.words[self.words_order]
+        words, n = np.array([w for w, _ in frequent], np.int64).view(np.uint64), np.array([n for _, n in frequent], float)
+        bits = np.clip(-np.log2(np.maximum(1, n) / texts), LEAST_BITS, RARE)
+        bits = np.where(n <= FEW_TEXTS, np.maximum(bits, FULL), bits).astype(np.float32)
+        order = np.argsort(words)
+        self.words, self.bits = words[order], bits[order]
         self.need = math.log2(max(2, texts)) + SLACK
 
-    def information(self, flat: np.ndarray, every: bool = False) -> np.ndarray:
-        """Bits that each word tells; 0 for those left out, if any are."""
+    def information(self, flat: np.ndarray) -> np.ndarray:
+        """Bits that each word tells."""
         if not len(self.words):
             return np.full(len(flat), RARE, np.float32)
         at = np.minimum(np.searchsorted(self.words, flat), len(self.words) - 1)
-        return np.where(self.words[at] == flat, (self.all_bits if every else self.bits)[at], np.float32(RARE))
+        return np.where(self.words[at] == flat, self.bits[at], np.float32(RARE))
 
 
 def _numbered(flat: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,61 +207,59 @@ def _numbered(flat: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return _mixed(w + times.astype(np.uint64) * _GOLD), w, o
 
 
-@lru_cache(1 << 16)
-def dealings(n: int, m: int, tenths: int, threshold: float = THRESHOLD) -> int:
-    """How often a text of n words, m of which may be in keys of tenths/10 words, is dealt so that a pair at the threshold is missed with a chance of MISS.
+def segments_needed(words: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """How many segments of so many words a text needs, to miss a pair at the threshold with a chance of MISS.
 
-    Both texts have the words in which they differ taken evenly from all n. One
-    more than MOST_DEALINGS if that many do not suffice.
+    Two texts of n words that share t n of them have (2 - t) n in all; a segment
+    is the same in both if its words, taken evenly from these, are shared ones.
     """
-    few, part = divmod(tenths, 10)
-    r = n - math.ceil(threshold * n)
-    ways, chances = math.lgamma(n + 1) - math.lgamma(r + 1) - math.lgamma(n - r + 1), []
-    for d in range(max(0, r - (n - m)), min(r, m) + 1):
-        taken = math.lgamma(m + 1) - math.lgamma(d + 1) - math.lgamma(m - d + 1) + math.lgamma(n - m + 1) - math.lgamma(r - d + 1) - math.lgamma(n - m - r + d + 1)
-        hit = [math.prod(max(0, m - d - i) / (m + d - i) for i in range(min(k, m))) for k in (few, few + 1)]
-        chances.append((math.exp(taken - ways), 1 - (hit[0] * (10 - part) + hit[1] * part) / 10))
-    low, high = 1, MOST_DEALINGS + 1
-    while low < high:
-        middle = (low + high) // 2
-        low, high = (low, middle) if sum(h * q**middle for h, q in chances) <= MISS else (middle + 1, high)
-    return low
-
-
-def _dealt(tokens: np.ndarray, value: np.ndarray, owner: np.ndarray, info: np.ndarray, chosen: np.ndarray, n: np.ndarray, plan: Plan) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Keys of the chosen words, the texts that they belong to, and each text's number of dealings."""
+    same = (threshold / (2 - threshold)) ** np.maximum(words, 1)
+    return np.ceil(MARGIN * math.log(MISS) / np.log1p(-same)).astype(np.int64)
+
+
+def _segments(tokens: np.ndarray, value: np.ndarray, owner: np.ndarray, info: np.ndarray, often: np.ndarray, n: np.ndarray, plan: Plan) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Parities of the segments, and the texts that they belong to. often: how often each word is on a circle, as a share of 2^32."""
     texts = len(n)
+    if texts > 1 << 14:
+        raise ValueError("at most 16,384 texts at a time")
     keys: list[np.ndarray] = []
     texts_of: list[np.ndarray] = []
-    times = np.full(texts, STEP)
-    size, count = np.zeros(texts), np.bincount(owner[chosen], minlength=texts)
-    done = 0
-    while chosen.any():
-        t, v, o, i = tokens[chosen], value[chosen], owner[chosen], info[chosen]
-        who, begin, own = np.unique(o, return_index=True, return_counts=True)
-        if len(who) > 1 << 14:
-            raise ValueError("at most 16,384 texts at a time")
-        high = np.repeat(np.arange(len(who), dtype=np.uint64), own) << _U(50)
-        place = begin[:, None] + np.arange(KEY_WORDS)
-        there = np.arange(KEY_WORDS) < own[:, None]
-        place = np.where(there, place, 0)
-        for dealing in range(done, done + STEP):
-            order = np.argsort(high | (_mixed(t + np.uint64((dealing + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> _U(14)))
-            at = order[place]
-            told = np.where(there, i[at], 0)
-            # A key ends with the word that makes it rare enough.
-            taken = there & (np.cumsum(told, 1) - told < plan.need)
-            use = dealing < times[who]
-            keys.append(_mixed(np.bitwise_xor.reduce(np.where(taken, v[at], _U(0)), axis=1))[use])
-            texts_of.append(who[use])
-            if not done:
-                size[who] += taken.sum(1)
-        if not done:
-            for k in who.tolist():
-                times[k] = dealings(int(n[k]), int(count[k]), min(10 * KEY_WORDS, math.ceil(size[k] / STEP * 10)), plan.threshold)
-        done += STEP
-        chosen = chosen & (times > done)[owner]
-    return keys, texts_of, times
+    marks = np.minimum(1 << band_of(np.maximum(n // WORDS_A_MARK, 1)), MOST_MARKS)
+    # The shorter text of a pair may have half as many marks; then it is on circles that the longer one needs too.
+    lower = (marks > 1) & (plan.threshold * n < marks * WORDS_A_MARK)
+    circles = np.full(texts, 1)
+    steps = np.arange(SEGMENT_WORDS)
+    for circle in range(MOST_CIRCLES):
+        seed = np.uint64((circle + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        own = circle < np.where(lower, 2 * circles, circles)
+        if not own.any():
+            break
+        place = _mixed(tokens + seed)
+        on = np.flatnonzero(((place & _U(0xFFFFFFFF)) < often) & own[owner])
+        if not len(on):
+            continue
+        at = (owner[on].astype(np.uint64) << _U(50)) | (place[on] >> _U(14))
+        order = np.argsort(at)
+        at, on = at[order], on[order]
+        held = np.bincount(owner[on], minlength=texts)
+        begin = np.concatenate([[0], np.cumsum(held)[:-1]])
+        here = np.where(circle < circles, marks, marks // 2) * (own & (held > 0))
+        who = np.repeat(np.arange(texts), here)
+        mark = np.arange(len(who)) - np.repeat(np.cumsum(here) - here, here)
+        spot = (who.astype(np.uint64) << _U(50)) + (mark.astype(np.uint64) << _U(50)) // here[who].astype(np.uint64)
+        first = np.searchsorted(at, spot) - begin[who]
+        there = steps < held[who][:, None]
+        row = on[begin[who][:, None] + (first[:, None] + steps) % held[who][:, None]]
+        told = np.where(there, info[row], 0)
+        # A segment ends with the word that makes it rare enough.
+        before = np.cumsum(told, 1) - told
+        taken = there & (before < plan.need)
+        keys.append(_mixed(np.bitwise_xor.reduce(np.where(taken, value[row], _U(0)), axis=1)))
+        texts_of.append(who)
+        if not circle:
+            length = np.bincount(who, taken.sum(1), texts) / np.maximum(here, 1)
+            circles = np.ceil(segments_needed(length, plan.threshold) / marks).astype(np.int64)
+    return keys, texts_of
 
 
 def _remainders(values: np.ndarray, threshold: float) -> np.ndarray:
@@ -280,14 +282,14 @@ def sketch(flat: np.ndarray, starts: np.ndarray, plan: Plan) -> tuple[np.ndarray
     bit = tokens % _U(PARITY_BITS)
     np.bitwise_xor.at(parity, (owner, (bit >> _U(6)).astype(np.int64)), _U(1) << (bit & _U(63)))
 
-    info, every = plan.information(plain), plan.information(plain, True)
-    left = np.bincount(owner[info > 0], minlength=texts)
+    info = plan.information(plain)
     value = _mixed(tokens + _GOLD)
-    longer = (n > SHORT)[owner]
-    keys, texts_of, times = _dealt(tokens, value, owner, info, longer & (info > 0), n, plan)
-    # What most texts have is all that these have; a group of edited copies can make its own words common.
-    poor = (left < LITTLE_LEFT * n) | (n < BRIEF) | (times > MOST_DEALINGS)
-    more, owners, _ = _dealt(tokens, value, owner, every, longer & poor[owner], n, plan)
+    share = np.minimum(1, (info / FULL) ** 2)
+    held = np.bincount(owner, info * share, texts) / plan.need
+    part = np.flatnonzero(((n > SHORT) & (held >= PLENTY / 2))[owner])
+    whole = np.flatnonzero(((n > SHORT) & (held < PLENTY))[owner])
+    keys, texts_of = _segments(tokens[part], value[part], owner[part], info[part], (share[part] * 0xFFFFFFFF).astype(np.uint64), n, plan)
+    more, owners = _segments(tokens[whole] + _MIX, value[whole], owner[whole], info[whole], np.full(len(whole), 1 << 32, np.uint64), n, plan)
     keys, texts_of = keys + more, texts_of + owners
     begin = np.concatenate([[0], np.cumsum(n)])
     for k in np.flatnonzero((n > 0) & (n * plan.threshold <= SHORT)):
@@ -350,6 +352,23 @@ def _overlaps(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
+def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: pairs with a common key whose sizes allow the threshold."""
+    keyed = reps.select(F.explode("keys").alias("key"), "id", "n")
+    # The sample is by text, so its share of a key's texts is near SAMPLED whatever the key.
+    some = reps.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SAMPLED)) == 0).select(F.explode("keys").alias("key"))
+    hot = materialize(some.groupBy("key").agg((F.count(F.lit(1)) * SAMPLED).alias("size")).where(F.col("size") > HOT))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    close = (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n"))
+    if hot.isEmpty():
+        return a.join(b, (F.col("a.key") == F.col("b.key")) & close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    blocks = keyed.join(fits_broadcast(hot), "key", "left").withColumn("blocks", F.ceil(F.coalesce("size", F.lit(1)) / HOT).cast("int"))
+    one = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("key", "block", "id", "n").alias("a")
+    every = blocks.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "n").alias("b")
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block"))
+    return one.join(every, same & close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, text_col: str = "text", key_col: str = "chunk_id", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(links, members): the similar pairs of class representatives, and each text's class.
 
@@ -366,6 +385,9 @@ def near_duplicates(df: DataFrame, text_col: str = "text", key_col: str = "chunk
     MISS at every number of texts if its texts differ in words taken evenly from
     them, a closer pair more rarely; pairs with a text of at most SHORT words are
     found for certain. Where all differing words are rare ones the chance is higher.
+    Keys that a sample of the texts shows to be shared by more than HOT are
+    joined in blocks, each text of the one side with all of the other, so no
+    task takes the square of such a group.
     """
     spark = df.sparkSession
     texts = df.select(df[key_col].alias("id"), df[text_col].alias("text")).where(F.col("id").isNotNull() & (F.char_length("text") > 0))
@@ -378,14 +400,11 @@ def near_duplicates(df: DataFrame, text_col: str = "text", key_col: str = "chunk
     sketches = materialize(_sketches(texts, plan))
     bags = sketches.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
     copied = sketches.select("id", "k1", "k2", "n").join(bags.where(F.col("size") > 1), ["k1", "k2", "n"]).select("id", "rep")
-    others = copied.where(F.col("id") != F.col("rep")).distinct()
+    others = materialize(copied.where(F.col("id") != F.col("rep")).distinct())
     members = sketches.select("id").distinct().join(others, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
 
-    reps = sketches.join(others.select("id"), "id", "left_anti")
-    keyed = reps.select(F.explode("keys").alias("key"), "id", "n")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    close = (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.lit(threshold) * F.greatest("a.n", "b.n"))
-    candidates = a.join(b, (F.col("a.key") == F.col("b.key")) & close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    reps = sketches.join(fits_broadcast(others.select("id")), "id", "left_anti")
+    candidates = _candidates(reps, threshold)
 
     # Folded sketches never differ in more bits than whole ones; a quarter as wide, they spare most candidates the wide joins.
     folded = {f"f{k}": reduce(lambda x, y: x.bitwiseXOR(y), (F.col(s) for s in PARITY[k::2])) for k in range(2)}
