@@ -15,4 +15,4 @@ WHERE r = 1 AND n.mtime IS NOT NULL
 """)
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Paths that the next run has to process."""
-    return to_process(table(spark, folder, "scans"), table(spark, folder, "files"))
+    return to_process(table(spark, folder, "scans"), table(spark, folder, "files"), table(spark, folder, "sync_runs"))

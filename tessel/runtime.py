@@ -42,6 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder, which goes when the Python process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(hadoop_path)
+        fs.deleteOnExit(hadoop_path)
+    except Exception:  # a file system without delete-on-exit keeps the folder
+        pass
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df written once as a table in the shared folder, and read again.
 
@@ -49,14 +62,8 @@ def materialize(df: DataFrame) -> DataFrame:
     readers prune columns. The files go when the Python process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{scratch(spark, 'table')}/rows"
     df.write.option("compression", "zstd").parquet(path)
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    try:
-        hadoop_path.getFileSystem(conf).deleteOnExit(hadoop_path)
-    except Exception:  # a file system without delete-on-exit keeps the folder
-        pass
     return spark.read.schema(df.schema).parquet(path)
 
 

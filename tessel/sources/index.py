@@ -1,8 +1,10 @@
 """The index: files, chunks, vectors and the inverted index as versioned tables under one head.
 
-A head names one version of each table. Writers add versions to the tables and
-then one head, which is created exclusively; readers read the newest head, so
-they see all of a commit or nothing of it.
+A head names one version of each table. Writers add versions to the tables, each
+built on the version that the head names, and then one head, which is created
+exclusively; readers read the newest head, so they see all of a commit or
+nothing of it. Versions that a failed run has added are on no head's branch:
+neither readers nor later runs see them.
 """
 
 from __future__ import annotations
@@ -76,48 +78,55 @@ class Index:
         return self.heads.latest() > 0
 
     def create(self, meta: Meta) -> None:
-        self.heads.commit(note={"meta": meta.__dict__, "versions": {n: t.latest() for n, t in self.tables.items()}}, expect=0)
+        self.heads.commit(note={"meta": meta.__dict__, "versions": dict.fromkeys(self.tables, 0)}, expect=0)
 
-    def _head(self) -> dict:
-        log = self.heads.manifests()
-        if not log:
+    def _head(self, number: int | None = None) -> dict:
+        number = self.heads.latest() if number is None else number
+        if not number:
             raise IndexError_("no_index", f"no index at {self.path}")
-        return log[-1].note
+        return self.heads.manifest(number).note
 
     def meta(self) -> Meta:
         return Meta(**self._head()["meta"])
 
-    def read(self, name: str) -> DataFrame:
-        """A table as of the newest head."""
-        return self.tables[name].read(self._head()["versions"][name])
+    def read(self, name: str, head: int | None = None) -> DataFrame:
+        """A table as of the newest head, or of a head that is named."""
+        return self.tables[name].read(self._head(head)["versions"][name])
 
     def _publish(self, base: int, versions: dict[str, int]) -> int:
-        return self.heads.commit(note={"meta": self._head()["meta"], "versions": versions}, expect=base)
+        return self.heads.commit(note={"meta": self._head(base)["meta"], "versions": versions}, expect=base)
 
     def replace_files(self, files: DataFrame, chunks: DataFrame | None = None, vectors: DataFrame | None = None, removed: DataFrame | None = None) -> int:
         """One commit: rows of equal path are replaced, removed paths go, new contents come, contents without a path go.
 
         Deletions are deletion vectors, so a commit writes what changes and no
-        more. Chunks of a content that the index has are not added again.
+        more. Chunks of a content that the index has are not added again. A run
+        that fails at any point before the head is written has no effect, and
+        the same run again has the effect of one run.
         """
         base = self.heads.latest()
-        versions = dict(self._head()["versions"])
-        known = self.read("chunks").select("content_digest").distinct()
+        old = self._head(base)["versions"]
+        known = self.read("chunks", base).select("content_digest").distinct()
         gone = files.select("path") if removed is None else files.select("path").unionByName(removed.select("path"))
         t = self.tables["files"]
-        t.delete_matching(gone.distinct(), ["path"])
-        versions["files"] = t.commit(files)
-        live = t.read().select("content_digest").distinct()
+        versions = {"files": t.replace(gone, ["path"], files, onto=old["files"])}
+        live = t.read(versions["files"]).select("content_digest").distinct()
         terms = lengths = None
         if chunks is not None:
             terms, lengths = self._inverted(chunks.join(known, "content_digest", "left_anti"))
         for name, rows in (("chunks", chunks), ("chunk_vectors", vectors), ("postings", terms), ("lengths", lengths)):
-            own = self.tables[name]
-            dead = self.read(name).select("content_digest").distinct().join(live, "content_digest", "left_anti")
-            own.delete_matching(dead, ["content_digest"])
-            versions[name] = own.commit(rows.join(known, "content_digest", "left_anti") if rows is not None else None)
+            dead = self.read(name, base).select("content_digest").distinct().join(live, "content_digest", "left_anti")
+            fresh = rows.join(known, "content_digest", "left_anti") if rows is not None else None
+            versions[name] = self.tables[name].replace(dead, ["content_digest"], fresh, onto=old[name])
         return self._publish(base, versions)
 
+    def compact(self) -> int | None:
+        """Rewrite what deletion vectors are about; readers see the same. None if there are none."""
+        base = self.heads.latest()
+        old = self._head(base)["versions"]
+        new = {n: t.compact(onto=old[n]) or old[n] for n, t in self.tables.items()}
+        return self._publish(base, new) if new != old else None
+
     def _inverted(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Postings and lengths of new chunks. Postings lie by term, so that a query's terms prune row groups."""
         index = invert(chunks.withColumn("k", F.struct("content_digest", "seq")), key_col="k", how=self.strategy())
@@ -147,13 +156,36 @@ class Index:
         """Mark what has changed or gone as stale."""
         return self.mark_stale(buckets.where(F.col("bucket").isin("changed", MISSING)).select("path"))
 
-    def reset(self, meta: Meta) -> None:
-        """Start anew under the same path; the old versions stay readable by their heads until the folder is removed."""
+    def reset(self, meta: Meta) -> int:
+        """Start anew under the same path. Returns the head that was, which stays readable and can be restored."""
         base = self.heads.latest()
-        versions = {}
-        for name, t in self.tables.items():
-            versions[name] = t.commit(removed=[f["path"] for f in t.files()])
-        self.heads.commit(note={"meta": meta.__dict__, "versions": versions}, expect=base)
+        self.heads.commit(note={"meta": meta.__dict__, "versions": dict.fromkeys(self.tables, 0), "backup": base}, expect=base)
+        return base
+
+    def backups(self) -> list[int]:
+        """Heads that resets have left behind, newest first."""
+        return [m.note["backup"] for m in reversed(self.heads.manifests()) if m.note.get("backup")]
+
+    def restore(self, head: int) -> int:
+        """Make an earlier head the newest one."""
+        note = {k: v for k, v in self._head(head).items() if k != "backup"}
+        return self.heads.commit(note=note, expect=self.heads.latest())
+
+    # -- lookups
+
+    def file(self, path: str) -> dict | None:
+        """The record of one path."""
+        found = self.read("files").where(F.col("path") == path).limit(1).collect()
+        return found[0].asDict() if found else None
+
+    def content_of(self, path: str) -> str | None:
+        """The content that a path holds."""
+        found = self.file(path)
+        return found and found["content_digest"]
+
+    def has_content(self, digest: str) -> bool:
+        """Whether chunks of a content are there."""
+        return not self.read("chunks").where(F.col("content_digest") == digest).isEmpty()
 
     def describe(self) -> str:
         return json.dumps(self._head(), sort_keys=True)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tessel.operators.sizes import fits_broadcast
+from tessel.runtime import materialize
 from tessel.sources.versioned import VersionedTable
 
 OBSERVATION = T.StructType(
@@ -29,17 +31,23 @@ def newest(observations: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.max_by(F.struct("mtime", "size", "observed_at"), order).alias("s")).select("path", "s.*")
 
 
-def follow(spark: SparkSession, folder: str, state: VersionedTable, checkpoint: str, buckets: int = 16, once: bool = False, schema: T.StructType = OBSERVATION) -> StreamingQuery:
+def follow(spark: SparkSession, folder: str, state: VersionedTable, checkpoint: str, once: bool = False, schema: T.StructType = OBSERVATION, vectors: int = 32) -> StreamingQuery:
     """Start the stream from Parquet files in `folder` to the state table; with `once` it ends when all files are in.
 
-    A batch rewrites only the buckets of paths whose state changed.
+    A batch reads the state's rows of its own paths and commits those that
+    change: their old positions as a deletion vector, the new rows as a file.
+    After `vectors` such vectors the files that they are about are rewritten.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         if state.processed(STREAM) > number:
             return
-        now = newest(batch.select("path", "mtime", "size", "observed_at").unionByName(state.read()))
-        state.commit_snapshot(now, "path", buckets, processed={STREAM: number + 1})
+        came = materialize(newest(batch.select("path", "mtime", "size", "observed_at")))
+        old = state.read().join(fits_broadcast(came.select("path")), "path", "left_semi").select(*came.columns)
+        now = materialize(newest(came.unionByName(old)).exceptAll(old))
+        state.replace(now, ["path"], now, processed={STREAM: number + 1})
+        if len(state.state().deletions) >= vectors:
+            state.compact()
 
     rows = spark.readStream.schema(schema).parquet(folder)
     writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

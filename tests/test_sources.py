@@ -21,7 +21,7 @@ def rows(spark, *pairs):
 
 
 def got(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: [(x is not None, x) for x in r])
 
 
 def test_versions_deltas_and_deletion_vectors(spark, tmp_path):
@@ -32,18 +32,42 @@ def test_versions_deltas_and_deletion_vectors(spark, tmp_path):
     assert got(t.read()) == [(2, "b"), (2, "b"), (3, None)] and got(t.read(1))[0] == (1, "a")
     assert got(t.changes(1)) == [(1, "a", "delete")]
     assert got(t.changes(0)) == [(2, "b", "insert"), (2, "b", "insert"), (3, None, "insert")]
-    t.commit(rows(spark, (3, None), (4, "d")), removed=[f["path"] for f in t.files()])
+    t.commit(rows(spark, (3, None), (4, "d")), removed=t.files())
     assert got(t.changes(2)) == [(2, "b", "delete"), (2, "b", "delete"), (4, "d", "insert")]
     assert got(t.changes(3)) == [] and got(t.changes(1, 2)) == [(1, "a", "delete")]
 
 
-def test_snapshots_write_only_changed_buckets(spark, tmp_path):
+def test_merges_write_what_differs(spark, tmp_path):
     t = VersionedTable(spark, f"file://{tmp_path}/t", SCHEMA)
-    t.commit_snapshot(spark.range(200).select(F.col("id").alias("k"), F.lit("x").alias("v")), "k", 8)
-    before = {f["path"] for f in t.files()}
-    t.commit_snapshot(spark.range(200).select(F.col("id").alias("k"), F.when(F.col("id") == 7, "y").otherwise("x").alias("v")), "k", 8)
-    assert len(before & {f["path"] for f in t.files()}) == len(before) - 1
-    assert got(t.changes(1)) == [(7, "x", "delete"), (7, "y", "insert")]
+    t.merge(spark.range(200).select(F.col("id").alias("k"), F.lit("x").alias("v")))
+    before = t.files()
+    t.merge(spark.range(199).select(F.col("id").alias("k"), F.when(F.col("id") == 7, None).otherwise("x").alias("v")))
+    assert set(before) < set(t.files()) and len(t.state().deletions) == 1
+    assert got(t.changes(1)) == [(7, None, "insert"), (7, "x", "delete"), (199, "x", "delete")]
+    t.compact()
+    assert t.state().deletions == [] and t.read().count() == 199 and got(t.changes(2)) == [] and len(got(t.changes(1))) == 3
+    assert t.read(1).count() == 200 and t.compact() is None
+
+
+def test_a_log_is_checkpointed_and_damage_is_noticed(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/t", SCHEMA)
+    for k in range(20):
+        t.commit(rows(spark, (k, "a")), processed={"s": k})
+    assert (tmp_path / "t" / "_log" / f"{16:020d}.state.json").exists()
+    again = VersionedTable(spark, f"file://{tmp_path}/t", SCHEMA)
+    assert len(got(again.read())) == 20 and len(got(again.read(7))) == 7 and again.processed("s") == 19
+    assert not any(f"{3:020d}.json" == n for n in VersionedTable(spark, f"file://{tmp_path}/t", SCHEMA)._known)
+    (tmp_path / "t" / "_log" / f"{18:020d}.json").write_text("{")
+    with pytest.raises(ValueError):
+        VersionedTable(spark, f"file://{tmp_path}/t", SCHEMA).read()
+
+
+def test_branches_of_failed_runs_are_not_read(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/t", SCHEMA)
+    t.commit(rows(spark, (1, "a")))
+    t.replace(rows(spark, (1, "")), ["k"], rows(spark, (2, "lost")), onto=1)
+    assert t.replace(rows(spark, (1, "")), ["k"], rows(spark, (3, "c")), onto=1) == 3
+    assert got(t.read(3)) == [(3, "c")] and got(t.changes(1, 3)) == [(1, "a", "delete"), (3, "c", "insert")]
 
 
 def test_one_writer_wins(spark, tmp_path):
@@ -84,6 +108,60 @@ def test_paths_to_process(spark):
     assert t
 
 
+def test_runs_that_fail_leave_their_paths_to_the_next(spark, tmp_path, monkeypatch):
+    from tessel.operators import incremental as I
+
+    files = spark.createDataFrame([("a", 1.0, 1, "fresh"), ("b", 1.0, 1, "stale")], "path string, mtime double, size long, status string")
+    runs = spark.createDataFrame([(1, "ok", True), (2, "ok", False), (3, "failed", True)], "run_id long, outcome string, e boolean").select("run_id", "outcome", F.when(F.col("e"), F.current_timestamp()).alias("finished_at"))
+    assert I.last_success(runs) == 1 and I.last_success(runs.limit(0)) == 0
+    disk, work = (VersionedTable(spark, f"file://{tmp_path}/{n}", s) for n, s in (("d", I.STATE), ("w", I.WORK)))
+    I.adopt(disk, work, files, 1)
+    seen = lambda *r: spark.createDataFrame([(1, p, m, 1, n) for n, (p, m) in enumerate(r)], "scan_id long, path string, mtime double, size long, o int").select("scan_id", "path", "mtime", "size", F.timestamp_seconds("o").alias("observed_at"), F.timestamp_seconds("o").alias("arrived_at"))
+    with monkeypatch.context() as m:
+        m.setattr(work, "commit", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            I.next_run(disk, work, seen(("a", 1.0), ("b", 1.0), ("c", 1.0)))
+    assert work.processed("disk") == 1
+    assert got(I.next_run(disk, work, seen(("a", 1.0), ("b", 1.0), ("c", 1.0), ("d", 1.0)))) == [("b",), ("c",), ("d",)]
+    assert got(I.next_run(disk, work, seen(("a", 2.0), ("b", 1.0), ("c", 1.0)))) == [("a",)]
+    assert got(I.next_run(disk, work, seen(("a", 2.0), ("b", 1.0), ("c", 1.0)))) == [] and disk.state().deletions
+
+
+def test_runs_that_fail_at_any_commit_and_are_repeated(spark, tmp_path, monkeypatch):
+    from tessel.schema import CHUNKS, FILES, VECTORS
+    from tessel.sources.index import TABLES, Index, Meta
+
+    def content(index):
+        return {n: sorted(str(r) for r in index.read(n).collect()) for n in TABLES}
+
+    def run(index, path, digest, text):
+        frame = lambda row, schema: spark.createDataFrame([row], schema).coalesce(1)
+        return index.replace_files(frame((path, digest, 1.0, 1, "fresh"), FILES), frame((digest, 0, "sha256:" + digest, text, "", None), CHUNKS), frame((digest, 0, [1.0]), VECTORS))
+
+    index, good = (Index(spark, f"file://{tmp_path}/{n}") for n in ("index", "good"))
+    for i in (index, good):
+        i.create(Meta(1, "hash", 4))
+        run(i, "a.md", "d1", "the quick brown fox")
+    before = content(index)
+    for dying in (*index.tables.values(), index.heads):
+        with monkeypatch.context() as m:
+            m.setattr(dying, "commit", lambda *a, **k: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                run(index, "a.md", "d2", "a lazy dog sleeps")
+    assert content(index) == before
+    for i in (index, good):
+        run(i, "a.md", "d2", "a lazy dog sleeps")
+    after = content(good)
+    assert content(index) == after != before
+    index.compact()
+    assert content(index) == after
+    assert index.file("a.md")["status"] == "fresh" and index.file("no") is None and index.content_of("a.md") == "d2" and index.has_content("d2") and not index.has_content("d1")
+    kept = index.reset(Meta(1, "hash", 4))
+    assert index.read("chunks").count() == 0 and index.backups() == [kept]
+    index.restore(kept)
+    assert content(index) == after
+
+
 @pytest.mark.parametrize("lines,path,ignored", [(["*.log", "!keep.log"], "a/x.log", True), (["*.log", "!keep.log"], "keep.log", False), (["/top.txt"], "sub/top.txt", False), (["build/"], "a/build/x", True), (["a/**/z"], "a/b/c/z", True), (["# c", "", "x?z"], "xyz", True), (["[!a].md"], "b.md", True), (["\\#x"], "#x", True)])
 def test_ignore_rules(lines, path, ignored):
     assert IgnoreRules.of(lines).ignores(path) is ignored
