@@ -111,4 +111,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "p1_found": "SELECT chunk_id FROM chunks WHERE length(text) > 1024",
+    "p6_found": """
+WITH m AS (SELECT query_id AS q, chunk_id AS i, source AS s, max(CASE WHEN isfinite(raw_score) THEN raw_score END) AS raw,
+  max(CASE WHEN isfinite(prepared_score) THEN prepared_score END) AS prepared, min(pool_rank) AS rank
+  FROM source_explanations WHERE status = 'matched' AND query_id IS NOT NULL AND chunk_id IS NOT NULL AND source IS NOT NULL GROUP BY ALL),
+c AS (SELECT q, s, count(*) AS n, corr(raw, CASE WHEN raw IS NOT NULL THEN rank END) AS together FROM m GROUP BY ALL),
+p AS (SELECT m.*, n, row_number() OVER (PARTITION BY q, s ORDER BY coalesce(raw * CASE WHEN NOT isnan(together) AND together > 0 THEN -1 ELSE 1 END, prepared) DESC NULLS LAST, rank ASC NULLS LAST, i) AS place
+  FROM m JOIN c USING (q, s)),
+st AS (SELECT q, s, i, (n - least(coalesce(rank, place), n) + 1)::DOUBLE / n AS standing FROM p),
+b AS (SELECT q, s, quantile_cont(standing, 0.025) AS lo, quantile_cont(standing, 0.975) AS hi FROM st GROUP BY ALL),
+w AS (SELECT q, s, i, standing, least(greatest(standing, lo), hi) AS v FROM st JOIN b USING (q, s)),
+u AS (SELECT q, s, i, standing, v / sqrt(sum(v * v) OVER (PARTITION BY q, s)) AS v FROM w),
+x AS (SELECT q, s, max(v) AS best FROM u GROUP BY ALL),
+g AS (SELECT k.q, k.i, sum((best - coalesce(v, 0)) ** 2) AS near, sum(coalesce(v, 0) ** 2) AS far, sum(coalesce(standing, 0)) AS total
+  FROM (SELECT DISTINCT q, i FROM u) k JOIN x ON x.q = k.q LEFT JOIN u ON u.q = k.q AND u.i = k.i AND u.s = x.s GROUP BY ALL)
+SELECT q AS query_id, i AS chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sqrt(far) / (sqrt(near) + sqrt(far)), 12) DESC, total DESC, i) AS position FROM g) WHERE position <= 5
+""",
 }

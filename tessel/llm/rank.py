@@ -5,8 +5,9 @@ weighted distances to the ideal point (the best of every source) and to the
 anti-ideal point give its relative closeness, by which items are sorted.
 
 What a source contributes is its scores' standing, not their size: only a
-source that matched something takes part, all such sources have the same
-weight, and the direction of its numbers is taken from its pool ranks.
+source that matched something takes part, the direction of its numbers is taken
+from its pool ranks, and its standings are winsorised and normalised to a vector
+of length one. All sources have the same weight, so that each has the same say.
 """
 
 from __future__ import annotations
@@ -45,9 +46,9 @@ def ideal_point_ranking(
     item's rows in a source the best rank holds. Rows with another status, or
     with a null query, item or source, do not take part. An item that a source
     did not match stands at the source's anti-ideal value. Empty tables give no
-    rows. A query of any size is spread over tasks up to the last numbering,
-    because everything before it is a grouped aggregate or a window per query
-    and source.
+    rows. A pool, which is one source's answer to one query, is sorted in one
+    task, and so are the items of one query at the end; pools are cut at a few
+    times the wanted results by the search that makes them.
     """
     rows = df.where(F.col(status_col) == "matched").select(
         F.col(query_col).alias("q"),
@@ -63,7 +64,8 @@ def ideal_point_ranking(
     # Does a larger raw score stand for a better or a worse rank? The known ranks tell.
     pool = Window.partitionBy("q", "s")
     both = F.when(F.col("raw").isNotNull(), F.col("rank"))
-    sign = F.when(F.corr("raw", both).over(pool) > 0, -1.0).otherwise(1.0)
+    together = F.corr("raw", both).over(pool)
+    sign = F.when(~F.isnan(together) & (together > 0), -1.0).otherwise(1.0)
     directed = one.withColumn("score", F.coalesce(F.col("raw") * sign, F.col("prepared")))
     place = F.row_number().over(pool.orderBy(F.desc_nulls_last("score"), F.asc_nulls_last("rank"), "i"))
     n = F.count(F.lit(1)).over(pool)
@@ -76,16 +78,15 @@ def ideal_point_ranking(
 def _closeness(standing: DataFrame, query_col: str, item_col: str, tail: float) -> DataFrame:
     bounds = standing.groupBy("q", "s").agg(F.percentile("standing", F.array(F.lit(tail / 2), F.lit(1 - tail / 2))).alias("b"), F.count(F.lit(1)).alias("m"))
     clipped = standing.join(bounds, ["q", "s"]).withColumn("v", F.least(F.greatest("standing", F.col("b")[0]), F.col("b")[1]))
-    length = Window.partitionBy("q", "s")
+    pool = Window.partitionBy("q", "s")
     # Unmatched items stand at zero, which is each source's anti-ideal value; matched ones lie above.
-    unit = clipped.withColumn("v", F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(length))).withColumn("best", F.max("v").over(length))
-    # Equal say: the weight of a source makes its ideal point as far from the anti-ideal one as any other's.
-    unit = unit.withColumn("v", F.col("v") / F.col("best"))
-    sources = standing.groupBy("q").agg(F.countDistinct("s").alias("k"))
+    unit = clipped.withColumn("v", F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(pool))).withColumn("best", F.max("v").over(pool))
+    sources = unit.groupBy("q", "s").agg(F.max("best").alias("best")).groupBy("q").agg(F.sum(F.col("best") * F.col("best")).alias("far"))
     items = unit.groupBy("q", "i").agg(
-        F.sum(F.pow(1 - F.col("v"), 2)).alias("to_ideal"), F.sum(F.pow("v", 2)).alias("from_worst"), F.count(F.lit(1)).alias("sources"), F.sum("standing").alias("total")
+        F.sum(F.pow(F.col("best") - F.col("v"), 2) - F.pow("best", 2)).alias("nearer"), F.sum(F.pow("v", 2)).alias("from_worst"), F.count(F.lit(1)).alias("sources"), F.sum("standing").alias("total")
     )
-    ideal = F.sqrt(F.col("to_ideal") + F.col("k") - F.col("sources"))
+    # A source that did not match the item adds the whole distance of its ideal point.
+    ideal = F.sqrt(F.greatest(F.lit(0.0), F.col("far") + F.col("nearer")))
     worst = F.sqrt("from_worst")
     scored = items.join(sources, "q").withColumn("closeness", F.round(worst / (ideal + worst), 12))
     order = Window.partitionBy("q").orderBy(F.desc("closeness"), F.desc("total"), "i")

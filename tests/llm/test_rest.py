@@ -23,6 +23,24 @@ def test_no_source_prevails_by_size(spark):
     assert out[11] == 1 and out[12] == 2 and set(out) == {10, 11, 12, 13, 14, 15} and sorted(out.values()) == [1, 2, 3, 4, 5, 6]
 
 
+def test_winsorising_and_normalising_count(spark, monkeypatch):
+    from tessel.llm import rank
+
+    # A source with a large pool, one with a small one: 1 is best in the large one, 500 in the small one.
+    rows = [(1, c, "large", "matched", 40, float(-c), None, c) for c in range(1, 41)] + [(1, c, "small", "matched", 4, -float(k), None, k + 1) for k, c in enumerate((500, 2, 501, 502))]
+    df = spark.createDataFrame(rows, RANKED)
+
+    def ranked(**options):
+        return {r.chunk_id: (r.position, r.closeness) for r in ideal_point_ranking(df, **options).collect()}
+
+    usual = ranked()
+    # Vectors of length one: 500 holds more of its source's length than 1 of its own.
+    assert usual[500][0] < usual[1][0] and usual[2][0] == 1
+    # Winsorised at a quarter, the best of the large pool are equal, and ties go by standing.
+    cut = ranked(tail=0.5)
+    assert cut[1][1] == cut[3][1] and usual[1][1] > usual[3][1] and cut[1][0] < cut[3][0]
+
+
 def test_missing_ranks_are_filled(spark):
     rows = [(1, c, "b", "matched", 5, s, None, r) for c, s, r in ((1, -9.0, 1), (2, -7.0, None), (3, -5.0, 3), (4, float("nan"), None), (5, -1.0, 4))]
     rows += [(2, 7, "b", "matched", 1, None, None, None), (None, 1, "b", "matched", 1, 1.0, 1.0, 1)]
@@ -106,3 +124,13 @@ def test_held_out_accuracy():
 
     right = sum(((model.scores(sentences(t), Features()) > model.thresholds).sum(0) >= 3).tolist() == [k % 2 == 1, k % 2 == 0] for k, t in enumerate(texts[60:]))
     assert right == 20
+
+
+def test_ranking_agrees_with_sql(spark, folder):
+    import duckdb
+
+    from tessel.llm.queries import SQL, p6_found
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW source_explanations AS SELECT * FROM '{folder}/source_explanations.parquet'")
+    assert sorted(tuple(r) for r in p6_found(spark, folder).collect()) == sorted(con.sql(SQL["p6_found"]).fetchall())
