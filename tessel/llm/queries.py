@@ -39,7 +39,7 @@ def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks with markup in text or heading."""
-    return markup.find_markup(table(spark, folder, "chunks"), convert=False).select("chunk_id")
+    return markup.find_markup(table(spark, folder, "chunks")).select("chunk_id")
 
 
 def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
