@@ -2,8 +2,9 @@
 
 Method: one-versus-rest linear classifiers over hashed word n-grams of
 sentences. A training sentence has its document's labels as weak labels: hand
-labels where there are any, else the subject of the document's folder or
-section where that proves telling. Thresholds are calibrated per subject on
+labels where there are any, else what the document's folder, source and section
+headings say; how much each of these cues says for each subject is estimated
+over all hand-labelled documents. Thresholds are calibrated per subject on
 held-out documents. A document is on a subject that enough of its sentences
 are on.
 """
@@ -17,17 +18,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.runtime import bounded_sample, spread
+from tessel.operators.sizes import fits_broadcast
+from tessel.runtime import bounded_sample, materialize, spread
 
 BITS = 17
 SENTENCES = 3
 #: Labelled documents that a classifier is fitted on; those with the smallest hash of their key.
 FIT_DOCUMENTS = 2500
-#: A folder stands for a subject if this many of its labelled documents name it this many times as often as usual.
-FOLDER_SUPPORT, FOLDER_LIFT = 20, 3.0
+#: Documents without a hand label that cues label, beside these; no document of more characters is fitted on.
+WEAK_DOCUMENTS, FIT_CHARACTERS = 500, 200_000
+#: A cue counts if so many labelled documents have it, and for a subject if it is off the usual share by so many standard deviations; its share is drawn to the usual one as if by PRIOR documents.
+SUPPORT, DEVIATIONS, PRIOR = 20, 4.0, 20
+#: The cues that most labelled documents have, at most.
+MOST_CUES = 4096
+#: A classifier for more subjects would not fit into a broadcast.
+MOST_SUBJECTS = 1000
 
 _sentence = re.compile(r"(?<=[.!?…])[\"”’»)\]]*\s+|(?<=[。！？])|\n+")
 _token = re.compile(r"[一-鿿]|[^\W\d_一-鿿]+")
@@ -114,8 +122,11 @@ def _fit(rows: np.ndarray, numbers: np.ndarray, targets: np.ndarray, width: int,
     return weights, bias
 
 
-def train(texts: list[str], labels: list[set[str]], names: list[str], bits: int = BITS, least: int = SENTENCES) -> Subjects:
-    """Classifiers from documents with their sets of subjects (empty: none of them)."""
+def train(texts: list[str], labels: list[dict[str, float] | set[str]], names: list[str], bits: int = BITS, least: int = SENTENCES, hand: int | None = None) -> Subjects:
+    """Classifiers from documents with their subjects (none: on none of them), or how likely each is.
+
+    The first `hand` documents are labelled by hand; only these calibrate thresholds.
+    """
     features = Features(bits)
     width = 1 << bits
     parts, owner = [], []
@@ -123,7 +134,7 @@ def train(texts: list[str], labels: list[set[str]], names: list[str], bits: int
         own = sentences(text)
         parts += own
         owner += [d] * len(own)
-    truth = np.array([[s in own for s in names] for own in labels], np.float32).reshape(len(texts), len(names))
+    truth = np.array([[own.get(s, 0.0) if isinstance(own, dict) else s in own for s in names] for own in labels], np.float32).reshape(len(texts), len(names))
     if not parts:
         return Subjects(names, np.zeros((width + 1, len(names)), np.float32), np.full(len(names), -9, np.float32), np.full(len(names), 0.0, np.float32), bits)
     doc = np.array(owner)
@@ -141,7 +152,7 @@ def train(texts: list[str], labels: list[set[str]], names: list[str], bits: int
     order = np.argsort(rows, kind="stable")
     rows, numbers = rows[order], numbers[order]
 
-    held = np.arange(len(texts)) % 5 == 4
+    held = (np.arange(len(texts)) % 5 == 4) & (np.arange(len(texts)) < (len(texts) if hand is None else hand))
     if held.all() or not held.any():
         held[:] = False
     learn = ~held[doc]
@@ -180,6 +191,42 @@ def train(texts: list[str], labels: list[set[str]], names: list[str], bits: int
     return Subjects(names, weights, bias, thresholds, bits)
 
 
+def _names(subjects: DataFrame) -> dict[str, str]:
+    """Subjects by their plain form, as they are written."""
+    rows = subjects.select("subject").where(F.col("subject").isNotNull()).distinct().limit(MOST_SUBJECTS + 1).collect()
+    if len(rows) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
+    return {r[0].strip().lower(): r[0] for r in sorted(rows, reverse=True)}
+
+
+def cues(documents: DataFrame, text_col: str, path_col: str | None, source_col: str | None) -> Column:
+    """What may tell a document's subject beside its sentences: folder and source without their numbers, and the words of its headings."""
+
+    def step(name: str | None, mark: str) -> Column:
+        if name is None or name not in documents.columns:
+            return F.array().cast("array<string>")
+        plain = F.regexp_replace(F.element_at(F.split(documents[name], "/"), 1), r"[-\d]+$", "")
+        return F.when(F.length(plain) > 0, F.array(F.concat(F.lit(mark), plain))).otherwise(F.array().cast("array<string>"))
+
+    lines = F.regexp_extract_all(documents[text_col], F.lit(r"(?m)^([^\n.!?…:;,]{1,60})$"), F.lit(1))
+    words = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"([\p{L}]{3,})"), F.lit(1))))
+    return F.array_distinct(F.concat(step(path_col, "path:"), step(source_col, "source:"), F.transform(words, lambda w: F.concat(F.lit("head:"), w))))
+
+
+def telling(pairs: list[tuple[str, str, int, int]], usual: dict[str, float]) -> dict[str, dict[str, float]]:
+    """What each cue adds to the log-odds of each subject, from (cue, subject, documents with both, documents with the cue)."""
+    out: dict[str, dict[str, float]] = {}
+    odds = lambda p: np.log(p / (1 - p))
+    counted = {(c, s): n for c, s, n, _ in pairs}
+    for cue, total in {(c, n) for c, _, _, n in pairs}:
+        for subject, share in usual.items():
+            share = min(max(share, 1e-3), 1 - 1e-3)
+            n = counted.get((cue, subject), 0)
+            if abs(n - total * share) > DEVIATIONS * np.sqrt(total * share * (1 - share)):
+                out.setdefault(cue, {})[subject] = float(odds((n + PRIOR * share) / (total + PRIOR)) - odds(share))
+    return out
+
+
 def fit_subjects(
     documents: DataFrame,
     labels: DataFrame,
@@ -187,38 +234,74 @@ def fit_subjects(
     text_col: str = "text",
     key_col: str = "doc_id",
     path_col: str | None = "path",
+    source_col: str | None = "source",
     fit_documents: int = FIT_DOCUMENTS,
+    weak_documents: int = WEAK_DOCUMENTS,
 ) -> Subjects:
-    """Classifiers fitted on at most `fit_documents` labelled documents.
+    """Classifiers fitted on at most `fit_documents` hand-labelled documents and `weak_documents` that cues label.
 
     Labels are compared without case and outer white space; unknown ones are
-    ignored, a null one says that the reader saw no subject. Folders (the path's
-    first step without digits) become weak labels for unlabelled documents
-    where hand labels show that they are telling; see FOLDER_LIFT.
+    ignored, a null one says that the reader saw no subject. Cues are judged
+    over all hand-labelled documents at every size (see telling); a document
+    with a telling one gets each subject's odds as its weak label. Samples are
+    drawn by key, so no text is shuffled. Each subject is fitted in a task of
+    its own.
     """
-    names = sorted({r[0].strip().lower() for r in subjects.select("subject").where(F.col("subject").isNotNull()).distinct().limit(1000).collect()})
+    spark = documents.sparkSession
+    names = sorted(_names(subjects))
     clean = F.lower(F.trim("subject"))
     known = labels.select(F.col(key_col).alias("_k"), clean.alias("_s")).where(F.col("_s").isNull() | F.col("_s").isin(names))
-    known = known.where(F.col("_k").isNotNull()).groupBy("_k").agg(F.collect_set("_s").alias("_labels"))
-    folder = F.regexp_replace(F.element_at(F.split(F.col(path_col), "/"), 1), r"[-\d]+$", "") if path_col else F.lit(None).cast("string")
-    docs = documents.select(documents[key_col].alias("_k"), documents[text_col].alias("_t"), folder.alias("_folder")).where(F.char_length("_t") > 0)
-    hand = docs.join(known, "_k")
-    sample = bounded_sample(hand.select("_k", "_t", "_labels"), "_k", fit_documents, known.count()).collect()
-    texts, sets = [r["_t"] for r in sample], [set(r["_labels"]) for r in sample]
-
-    if path_col and len(sample) < fit_documents:
-        told = hand.where(F.col("_folder").isNotNull()).select("_folder", F.explode("_labels").alias("_s"))
-        pairs = told.groupBy("_folder", "_s").agg(F.count(F.lit(1)).alias("n"))
-        total = F.sum("n").over(Window.partitionBy("_folder"))
-        usual = {s: sum(s in x for x in sets) / max(1, len(sets)) for s in names}
-        pairs = pairs.withColumn("total", total).where(F.col("n") >= FOLDER_SUPPORT).collect()
-        telling = {r["_folder"]: r["_s"] for r in pairs if r["n"] / r["total"] > FOLDER_LIFT * max(0.01, usual[r["_s"]])}
-        if telling:
-            weak = docs.where(F.col("_folder").isin(list(telling))).join(known, "_k", "left_anti")
-            weak = bounded_sample(weak, "_k", fit_documents - len(sample)).collect()
-            texts += [r["_t"] for r in weak]
-            sets += [{telling[r["_folder"]]} for r in weak]
-    return train(texts, sets, names)
+    known = materialize(known.where(F.col("_k").isNotNull()).groupBy("_k").agg(F.collect_set("_s").alias("_labels")))
+    length = F.char_length(documents[text_col])
+    docs = documents.where(length > 0).select(documents[key_col].alias("_k"), cues(documents, text_col, path_col, source_col).alias("_cues"), (length <= FIT_CHARACTERS).alias("_fits"))
+    hand = materialize(docs.join(fits_broadcast(known), "_k"))
+
+    def texts_of(keys: DataFrame) -> DataFrame:
+        whole = documents.where((length > 0) & (length <= FIT_CHARACTERS)).select(documents[key_col].alias("_k"), documents[text_col].alias("_t"))
+        return whole.join(F.broadcast(keys.distinct()), "_k")
+
+    able = hand.where("_fits").select("_k", "_labels")
+    chosen = bounded_sample(able, "_k", fit_documents)
+    sample = sorted(texts_of(chosen).collect(), key=lambda r: str(r["_k"]))
+    texts, sets = [r["_t"] for r in sample], [dict.fromkeys(r["_labels"], 1.0) for r in sample]
+
+    # Counted over all hand-labelled documents.
+    total = max(1, hand.count())
+    counts = {r["_s"]: r["n"] for r in hand.select(F.explode("_labels").alias("_s")).groupBy("_s").agg(F.count(F.lit(1)).alias("n")).collect()}
+    usual = {s: counts.get(s, 0) / total for s in names}
+    support = hand.select(F.explode("_cues").alias("_c")).groupBy("_c").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= SUPPORT).orderBy(F.desc("total"), "_c").limit(MOST_CUES)
+    both = hand.select("_labels", F.explode("_cues").alias("_c")).join(F.broadcast(support), "_c").select("_c", "total", F.explode_outer("_labels").alias("_s")).groupBy("_c", "_s").agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"))
+    told = telling([(r["_c"], r["_s"], r["n"], r["total"]) for r in both.collect()], usual)
+    hinted = docs.where("_fits").where(F.arrays_overlap("_cues", F.array(*[F.lit(c) for c in told]) if told else F.array().cast("array<string>"))).join(fits_broadcast(known.select("_k")), "_k", "left_anti")
+    weak = bounded_sample(hinted, "_k", weak_documents) if told else hinted.limit(0)
+    for r in sorted(texts_of(weak).collect(), key=lambda r: str(r["_k"])) if told else ():
+        texts.append(r["_t"])
+        odds = {s: np.log(max(usual[s], 1e-3) / (1 - min(usual[s], 1 - 1e-3))) + sum(told[c].get(s, 0.0) for c in r["_cues"] if c in told) for s in names}
+        sets.append({s: float(1 / (1 + np.exp(-x))) for s, x in odds.items()})
+    return _fitted(spark, texts, sets, names, len(sample))
+
+
+def _fitted(spark: SparkSession, texts: list[str], sets: list[dict[str, float]], names: list[str], hand: int) -> Subjects:
+    """train(), with a task for each subject; what is sent to the tasks is the bounded sample."""
+    if not names:
+        return train(texts, sets, names)
+    sent = spark.sparkContext.broadcast((texts, sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                own = train(*sent.value, [names[k]], hand=hand)
+                used = np.flatnonzero(own.weights[:, 0]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k]), pa.array([used.tobytes()], pa.binary()), pa.array([own.weights[used, 0].tobytes()], pa.binary()), pa.array([float(own.bias[0])]), pa.array([float(own.thresholds[0])])], names=["k", "used", "w", "b", "t"]
+                )
+
+    out = Subjects(names, np.zeros(((1 << BITS) + 1, len(names)), np.float32), np.zeros(len(names), np.float32), np.zeros(len(names), np.float32))
+    for r in spark.range(0, len(names), 1, len(names)).mapInArrow(run, "k long, used binary, w binary, b double, t double").collect():
+        out.weights[np.frombuffer(r["used"], np.int32), r["k"]] = np.frombuffer(r["w"], np.float32)
+        out.bias[r["k"]], out.thresholds[r["k"]] = r["b"], r["t"]
+    sent.unpersist()
+    return out
 
 
 def assign_subjects(documents: DataFrame, model: Subjects, subjects: DataFrame | None = None, text_col: str = "text", key_col: str = "doc_id", least: int = SENTENCES) -> DataFrame:
@@ -229,10 +312,7 @@ def assign_subjects(documents: DataFrame, model: Subjects, subjects: DataFrame |
     if given. Whole texts are read; there is no shuffle. The model (a fixed
     2^17 rows of weights) is broadcast.
     """
-    spelling = {}
-    if subjects is not None:
-        for r in sorted(subjects.select("subject").where(F.col("subject").isNotNull()).distinct().limit(1000).collect(), reverse=True):
-            spelling[r[0].strip().lower()] = r[0]
+    spelling = _names(subjects) if subjects is not None else {}
     sent = documents.sparkSession.sparkContext.broadcast(model)
     shown = [spelling.get(s, s) for s in model.names]
 

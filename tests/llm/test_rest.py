@@ -117,6 +117,28 @@ def test_subjects(spark):
     assert assign_subjects(d, empty, areas).count() == 0
 
 
+def test_cues_label_where_hand_labels_show_that_they_tell(spark):
+    from tessel.llm import subject as S
+
+    pairs = [("path:court", "law", 38, 40), ("path:court", "cooking", 2, 40), ("head:notes", "law", 20, 40), ("head:notes", "cooking", 20, 40)]
+    told = S.telling(pairs, {"law": 0.5, "cooking": 0.5})
+    assert set(told) == {"path:court"} and told["path:court"]["law"] > 1 > 0 > told["path:court"]["cooking"]
+    d = spark.createDataFrame([(1, "Lease Notes\n\nA sentence. Another\nGlossary", "court-03/a.md", "court-03"), (2, "", None, None)], "doc_id long, text string, path string, source string")
+    assert [sorted(r[0]) for r in d.select(S.cues(d, "text", "path", "source")).collect()] == [["head:glossary", "head:lease", "head:notes", "path:court", "source:court"], []]
+    # Only the folder tells what the unlabelled documents are about; they have words that no hand-labelled one has.
+    docs, labels = [], []
+    for k in range(240):
+        own = [LAW, FOOD][k % 2] if k < 120 else ["A barrister argued about tort.", "Dough rises near saffron."][k % 2]
+        docs.append((k, " ".join([own] * 4), ["court", "inn"][k % 2] + "-1/x.md", None))
+        if k < 120:
+            labels.append((k, ["law", "cooking"][k % 2]))
+    d = spark.createDataFrame(docs + [(900, "A barrister argued about tort. " * 3, None, None)], d.schema)
+    areas = spark.createDataFrame([("law",), ("cooking",)], "subject string")
+    lab = spark.createDataFrame(labels, "doc_id long, subject string")
+    fit = lambda n: {(r.doc_id, r.subject) for r in assign_subjects(d.where("doc_id = 900"), fit_subjects(d.where("doc_id < 900"), lab, areas, weak_documents=n), areas).collect()}
+    assert fit(500) == {(900, "law")}
+
+
 def test_held_out_accuracy():
     texts = [f"{' '.join([[LAW, FOOD][k % 2].replace('court', f'court{k % 7}')] * 4)} Sentence {k} is plain." for k in range(80)]
     model = train(texts[:60], [{["law", "cooking"][k % 2]} for k in range(60)], ["cooking", "law"])
