@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +41,7 @@ class Items:
     """
 
     def __init__(self, items: list[tuple[object, str | None]], seed: int = SEED):
-        self.seed, self.ids, self.words, self.number = seed, [], [], {}
+        self.source, self.seed, self.ids, self.words, self.number = items, seed, [], [], {}
         self.grams: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for key, text in items:
             numbers = [self.number.setdefault(w, len(self.number)) for w in words_of(text or "")]
@@ -115,6 +116,34 @@ def _within(start: int, stop: int, differ: list[int], run: int, replaced: float)
         yield best
 
 
+#: The items that this worker has made, by the broadcast that they came in: a worker runs many tasks.
+_made: dict[int, Items] = {}
+
+
+def _items_of(sent) -> Items:
+    known = _made.get(id(sent.value))
+    # Broadcast values stay with the worker, so a value at the same place is the same one while its own items are kept.
+    if known is None or known.source is not sent.value:
+        _made.clear()
+        known = _made[id(sent.value)] = Items(sent.value)
+    return known
+
+
+def _blocks(items: DataFrame, item_key: str, item_text: str) -> list[list[tuple[object, str]]]:
+    """The items in blocks of at most BLOCK_WORDS words; one empty block if there are none."""
+    wanted = items.select(items[item_key], items[item_text]).where(items[item_text].isNotNull()).distinct()
+    blocks: list[list[tuple[object, str]]] = [[]]
+    size = 0
+    for key, text in wanted.toLocalIterator():
+        n = len(text.split()) + 1
+        if blocks[-1] and size + n > BLOCK_WORDS:
+            blocks.append([])
+            size = 0
+        blocks[-1].append((key, text))
+        size += n
+    return [sorted(block, key=lambda x: (str(x[0]), x[1])) for block in blocks]
+
+
 def leaked(
     corpus: DataFrame,
     items: DataFrame,
@@ -147,12 +176,9 @@ def leaked(
 
     def scan(block: list[tuple[object, str]]) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)
-        made: list[Items] = []
 
         def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            if not made:
-                made.append(Items(sent.value))
-            known = made[0]
+            known = _items_of(sent)
             for batch in batches:
                 keys, ids, words, passages = [], [], [], []
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -171,52 +197,44 @@ def leaked(
     from pyspark.sql.pandas.types import to_arrow_type
 
     item_type = to_arrow_type(items.schema[item_key].dataType)
-    wanted = items.select(items[item_key], items[item_text]).where(items[item_text].isNotNull()).distinct()
-    blocks: list[list[tuple[object, str]]] = [[]]
-    size = 0
-    for key, text in wanted.toLocalIterator():
-        n = len(text.split()) + 1
-        if blocks[-1] and size + n > BLOCK_WORDS:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((key, text))
-        size += n
-    out = scan(sorted(blocks[0], key=lambda x: (str(x[0]), x[1])))
-    for block in blocks[1:]:
-        out = out.unionByName(scan(block))
-    return out
+    blocks = _blocks(items, item_key, item_text)
+    return reduce(lambda x, y: x.unionByName(y), map(scan, blocks))
 
 
-def without_passages(corpus: DataFrame, found: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
-    """The corpus with the found passages cut out of the texts.
+def cleaned(corpus: DataFrame, items: DataFrame, text_col: str = "text", item_key: str = "item_id", item_text: str = "text", run: int = RUN, replaced: float = REPLACED) -> DataFrame:
+    """The corpus with the passages of the items cut out of the texts, in the scan that finds them.
 
     Every document stays, with columns as before; texts without a passage,
-    null and empty ones stay as they are. Ranges are counted in words, so the
-    cut takes the characters from the first to the last word of a passage.
+    null and empty ones stay as they are. The cut takes the characters from the
+    first to the last word of a passage. With several blocks of items the
+    blocks cut one after another. There is no shuffle.
     """
-    ranges = found.select(F.col(key_col).alias("_key"), F.explode("passages").alias("_p"))
-    ranges = ranges.groupBy("_key").agg(F.collect_set("_p").alias("_ranges"))
+    at = corpus.columns.index(text_col)
+    out = spread(corpus)
+    for block in _blocks(items, item_key, item_text):
+        sent = corpus.sparkSession.sparkContext.broadcast(block)
 
-    @F.pandas_udf("string")
-    def cut(texts, many):
-        return texts.combine(many, _cut)
+        def run_batches(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            known = _items_of(sent)
+            for batch in batches:
+                texts = []
+                for text in batch.column(at).to_pylist():
+                    ranges = [r for own in known.runs(text, run, replaced).values() for r in own] if text else []
+                    texts.append(_cut(text, ranges) if ranges else text)
+                yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    joined = corpus.join(ranges, corpus[key_col] == ranges["_key"], "left")
-    changed = F.when(F.col("_ranges").isNull(), corpus[text_col]).otherwise(cut(corpus[text_col], F.col("_ranges")))
-    return joined.select(*[changed.alias(c) if c == text_col else corpus[c] for c in corpus.columns])
+        out = out.mapInArrow(run_batches, corpus.schema)
+    return out
 
 
-def _cut(text: str | None, ranges: list | None) -> str | None:
-    if text is None or ranges is None:
-        return text
+def _cut(text: str, ranges: list[tuple[int, int]]) -> str:
     spans, count = [], 0
     for m in re.finditer(r"\S+", text):
         n = len(words_of(m.group()))
         spans += [(m.start(), m.end())] * n
         count += n
-    drop = sorted((r["start"], r["stop"]) for r in ranges)
     out, at = [], 0
-    for a, b in drop:
+    for a, b in sorted(ranges):
         if a < count and b <= count:
             start, stop = spans[a][0], spans[b - 1][1]
             if start > at:

@@ -1,7 +1,8 @@
 """The most similar vectors for every vector.
 
 Method: vantage-point trees, one per shard. A vector goes to the shards of its
-nearest pivots (a bounded sample), as data and as query. In a shard, a subtree
+nearest pivots (a bounded sample, itself searched by such a tree where it is
+large), as data and as query. In a shard, a subtree
 is skipped if the triangle inequality, relaxed by a factor, rules out that it
 holds something nearer than the k-th best so far. Factor one restores exact
 search within the shards; searching all shards restores it altogether.
@@ -21,9 +22,11 @@ from tessel.runtime import bounded_sample, materialize, spread
 
 K, WIDTH = 5, 64
 FACTOR = 0.25
-#: Rows for one pivot, the most pivots there are, and the shards each vector goes to.
-SHARD_ROWS, MOST_PIVOTS, COPIES = 4000, 4096, 2
-#: A shard with more rows than this is split: its data by a hash, its queries going to every part.
+#: Rows for one pivot, and the shards each vector goes to. Pivots grow with the rows up to MOST_PIVOTS, 64 MB of them, which a thousand million rows need.
+SHARD_ROWS, MOST_PIVOTS, COPIES = 4000, 1 << 18, 2
+#: More pivots than this are searched by a tree, too, with a factor close to exact search.
+FLAT_PIVOTS, PIVOT_FACTOR = 4096, 0.6
+#: A shard with more rows than this is split, its data by one hash and its queries by another; every part of the queries meets every part of the data.
 PART_ROWS = 60_000
 LEAF = 48
 
@@ -169,12 +172,13 @@ def nearest(
     fewer rows; an empty table gives none. A key that repeats is one vector
     (its first by content).
 
-    The index holds every vector. Its pivots are a bounded sample (at most
-    MOST_PIVOTS rows, those with the smallest hash of the key) and are the only
-    thing broadcast. Of more than k + 1 equal vectors the first k + 1 are
+    The index holds every vector. Its pivots are a bounded sample (one for
+    `shard_rows` rows, at most MOST_PIVOTS, those with the smallest hash of the
+    key) and are the only thing broadcast. Of more than k + 1 equal vectors the first k + 1 are
     indexed and the rest take their neighbours from these, which is exact, so a
     group of copies of any size does not load one shard; shards that are large
-    for other reasons are split.
+    for other reasons are split, queries as well as data, so that no task holds
+    more than some PART_ROWS of either.
     """
     spark = df.sparkSession
     kind = df.schema[key_col].dataType.simpleString()
@@ -192,14 +196,21 @@ def nearest(
     points = np.frombuffer(b"".join(r["vec"] for r in sample), np.float32).reshape(-1, width) if sample else np.zeros((1, width), np.float32)
     sent = spark.sparkContext.broadcast(points)
     used = min(copies, max(1, len(points)))
+    flat = len(points) <= FLAT_PIVOTS
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, numbers = (None if flat else Tree(sent.value)), np.arange(len(sent.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 rows, vectors = unit_vectors(part.column(1), width)
-                sims = vectors @ sent.value.T
-                shards = np.argsort(-sims, axis=1, kind="stable")[:, :used] if sims.shape[1] <= 64 else _top(sims, used)
+                if flat:
+                    sims = vectors @ sent.value.T
+                    shards = np.argsort(-sims, axis=1, kind="stable")[:, :used] if sims.shape[1] <= 64 else _top(sims, used)
+                else:
+                    shards = tree.search(vectors, used, np.full(len(rows), -1), numbers, PIVOT_FACTOR)[1]
+                    # Where the tree found fewer, the first pivot stands in; a shard twice does no harm.
+                    shards = np.where(shards < 0, shards[:, :1], shards)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * used, pa.int32()), pa.array(shards.ravel(), pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), _binary(vectors), listed], names=["id", "vec", "shards"])
 
@@ -222,8 +233,13 @@ def nearest(
     parts = {r["shard"]: -(-r["n"] // PART_ROWS) for r in sizes.collect()}
     count = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in parts.items() for x in p]), F.col("shard")), F.lit(1)) if parts else F.lit(1)
     rows = indexed.select("id", "vec", F.explode("shards").alias("shard")).withColumn("parts", count)
-    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("shard", "part", "id", "vec", (F.pmod(F.xxhash64("id"), F.col("parts")) == F.col("part")).alias("data"))
+    # A grid of parts: a row is data in its column of cells and a query in its row of cells.
+    across, down = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
+    line = F.sequence(F.lit(0), F.col("parts") - 1)
+    cells = F.array_distinct(F.concat(F.transform(line, lambda x: F.struct(x.alias("q"), across.alias("d"))), F.transform(line, lambda x: F.struct(down.alias("q"), x.alias("d")))))
+    one = F.array(F.struct(F.lit(0).alias("q"), F.lit(0).alias("d")))
+    rows = rows.withColumn("cell", F.explode(F.when(F.col("parts") == 1, one).otherwise(cells)))
+    rows = rows.select("shard", F.col("cell.q").alias("q"), F.col("cell.d").alias("d"), "id", "vec", (across == F.col("cell.d")).alias("data"), (down == F.col("cell.q")).alias("query"))
 
     def search(key: tuple, group: pa.Table) -> pa.Table:
         ids = np.asarray(group.column("id"))
@@ -232,19 +248,20 @@ def nearest(
         _, once = np.unique(ids, return_index=True)
         keep = np.zeros(len(ids), bool)
         keep[once] = True
-        ids, vectors, data = ids[keep], vectors[keep], data[keep]
-        own = np.where(data, np.cumsum(data) - 1, -1)
-        best, row = Tree(vectors[data]).search(vectors, k, own, ids[data], factor)
+        ids, vectors, data, query = ids[keep], vectors[keep], data[keep], np.asarray(group.column("query"))[keep]
+        own = np.where(data, np.cumsum(data) - 1, -1)[query]
+        near, vectors, ids, known = vectors[data], vectors[query], ids[query], ids[data]
+        best, row = Tree(near).search(vectors, k, own, known, factor)
         found = row >= 0
-        names = np.where(found, ids[data][np.maximum(row, 0)], 0) if data.any() else np.zeros_like(row)
+        names = np.where(found, known[np.maximum(row, 0)], 0) if len(known) else np.zeros_like(row)
         offsets = np.concatenate([[0], np.cumsum(found.sum(1))]).astype(np.int32)
         # Summed one pair at a time, so that shards that share a pair agree to the last bit.
-        near, at = vectors[data].astype(np.float64), np.nonzero(found)
+        near, at = near.astype(np.float64), np.nonzero(found)
         exact = np.einsum("ij,ij->i", vectors[at[0]].astype(np.float64), near[row[at]]) if len(at[0]) else np.zeros(0)
         pairs = pa.StructArray.from_arrays([pa.array(-exact), pa.array(names[found])], ["far", "id"])
         return pa.table({"id": pa.array(ids), "found": pa.ListArray.from_arrays(pa.array(offsets), pairs)})
 
-    hits = rows.groupBy("shard", "part").applyInArrow(search, "id long, found array<struct<far:double,id:long>>")
+    hits = rows.groupBy("shard", "q", "d").applyInArrow(search, "id long, found array<struct<far:double,id:long>>")
     merged = hits.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), 1, k).alias("found"))
     listed = merged.select("id", F.posexplode("found").alias("p", "hit")).select("id", F.col("hit.id").alias("neighbor"), (-F.col("hit.far")).alias("similarity"), (F.col("p") + 1).alias("position"))
     if spared is None:

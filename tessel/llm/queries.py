@@ -85,8 +85,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     """All documents, with leaked passages cut out of the texts."""
-    documents = table(spark, folder, "documents").select("doc_id", "text")
-    return leak.without_passages(documents, leak.leaked(documents, table(spark, folder, "eval_items")))
+    return leak.cleaned(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "eval_items"))
 
 
 def _subjects(spark: SparkSession, folder: str) -> DataFrame:

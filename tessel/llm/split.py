@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessel.operators.sizes import fits_broadcast
+from tessel.runtime import materialize
+
 SIZE, OVERLAP = 1024, 128
 
 #: Kinds of boundary, from the most natural; a cut is made after the match. With the penalty of a cut there.
@@ -178,19 +181,34 @@ def resequenced(
 
     A content may hold any share of the rows: the numbers are running sums in
     two steps, over spans of `span` old seqs and then over the spans' totals, so
-    no task sorts a whole content.
+    no task sorts a whole content. The pieces are made once and written to the
+    shared folder; totals are counted from there without their texts.
     """
     names = {text_col: "text", heading_col: "heading", content_col: "content", seq_col: "source_seq"}
     rows = df.select(*(df[c].alias(n) for c, n in names.items())).where(F.char_length(F.col("text")) > 0)
-    fits = rows.where(F.char_length("text") <= size).select("content", "source_seq", "heading", F.lit(0).alias("piece"), "text")
-    long = split_oversized(rows, "text", ("content", "source_seq", "heading"), size, overlap).drop("of")
-    cut = fits.unionByName(long).withColumn("_span", F.floor(F.coalesce("source_seq", F.lit(-1)) / span))
-    totals = cut.groupBy("content", "_span").agg(F.count(F.lit(1)).alias("_n"))
+    whole = rows.select("content", "source_seq", "heading", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                row, number, out = [], [], []
+                for i, text in enumerate(part.column(3).to_pylist()):
+                    cut = pieces(text, size, overlap)
+                    row += [i] * len(cut)
+                    number += range(len(cut))
+                    out += cut
+                take = pa.array(row, pa.int32())
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(take) for k in range(3)), pa.array(number, pa.int32()), pa.array(out, pa.string())], names=["content", "source_seq", "heading", "piece", "text"])
+
+    schema = T.StructType([*whole.schema.fields[:3], T.StructField("piece", T.IntegerType()), T.StructField("text", T.StringType())])
+    cut = materialize(whole.mapInArrow(run, schema)).withColumn("_span", F.floor(F.coalesce("source_seq", F.lit(-1)) / span))
+    totals = materialize(cut.groupBy("content", "_span").agg(F.count(F.lit(1)).alias("_n")))
     before = totals.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("content").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("content", "_span").orderBy(F.asc_nulls_first("source_seq"), "heading", "piece", "text")
     numbered = cut.withColumn("_at", F.row_number().over(inside) - 1).alias("c")
     same = F.col("c.content").eqNullSafe(F.col("b.content")) & (F.col("c._span") == F.col("b._span"))
-    return numbered.join(before.alias("b"), same).select(
+    return numbered.join(fits_broadcast(before).alias("b"), same).select(
         F.col("c.content").alias(content_col),
         (F.col("_before") + F.col("_at")).cast("int").alias(seq_col),
         F.col("source_seq"),

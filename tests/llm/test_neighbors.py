@@ -45,3 +45,18 @@ def test_unusable_vectors_and_copies(spark):
     assert set(by) == {*range(40), 50, 51} and by[39] == [0, 1, 2, 3, 4] and by[2] == [0, 1, 3, 4, 5] and by[50][0] == 51 and by[51][0] == 50
     assert neighbor_pairs(nearest(df.limit(0))).count() == 0
     assert nearest(df.where("chunk_id = 50")).count() == 0
+
+
+def test_split_shards_and_many_pivots_give_the_same(spark, monkeypatch):
+    from tessel.llm import neighbors as N
+
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(600)] + [(600, [1.0] * 8), (601, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<double>")
+    run = lambda **o: sorted((r.chunk_id, r.neighbor, r.position) for r in N.nearest(df, width=8, factor=1.0, **o).collect())
+    whole = run(shard_rows=10_000)
+    monkeypatch.setattr(N, "PART_ROWS", 200)
+    assert run(shard_rows=10_000) == whole
+    monkeypatch.setattr(N, "FLAT_PIVOTS", 4)
+    some = run(shard_rows=60, copies=4)
+    assert len(set(some) & set(whole)) > 0.7 * len(whole)

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from tessel.llm.leak import leaked, without_passages, words_of
+from tessel.llm.leak import cleaned, leaked, words_of
 from tessel.llm.rank import ideal_point_ranking
 from tessel.llm.subject import assign_subjects, fit_subjects, sentences, train
 from tessel.llm.tokenize import DEFAULT_VOCABULARY, WORD_PATTERN, TrieEncoder, encode_corpus, load_ranks
@@ -91,8 +91,8 @@ def test_leaks(spark):
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string, answer string")
     out = leaked(d, i)
     assert sorted((r.doc_id, r.item_id) for r in out.collect()) == [(1, 70), (1, 70), (3, 70)]
-    cleaned = [r.text for r in without_passages(d.where("doc_id = 3"), out).collect()]
-    assert cleaned == ["x  y"]
+    kept = {r.doc_id: r.text for r in cleaned(d.where("doc_id > 1"), i).collect()}
+    assert kept[3] == "x  y" and kept[4] is None and kept[5] == "" and len(kept) == 6 and kept[2] == docs[1][1]
     assert leaked(d.limit(0), i).count() == 0 and leaked(d, i.limit(0)).count() == 0
     assert words_of("Copper-Clad, naïve_x") == ["copper", "clad", "naïve", "x"]
 
