@@ -87,37 +87,54 @@ def distinct_terms(df: DataFrame, text_col: str, key_cols: list[str], how: Strat
 
 @dataclass
 class InvertedIndex:
-    """postings(term, key, tf, positions), lengths(key, length), stats(documents, mean)."""
+    """postings(term, key, tf, positions) and lengths(key, length); postings that are kept have each key's length too.
+
+    stats(documents, mean) is one row; collection has the same two numbers where
+    they are known already.
+    """
 
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
     how: Strategy
+    collection: tuple[int, float] | None = None
+    tokens: DataFrame | None = None
 
 
-def invert(df: DataFrame, text_col: str = "text", key_col: str = "chunk_id", how: Strategy = UNICODE61, positions: bool = True, only: list[str] | None = None) -> InvertedIndex:
+def invert(df: DataFrame, text_col: str = "text", key_col: str = "chunk_id", how: Strategy = UNICODE61, positions: bool = True) -> InvertedIndex:
     """The inverted index of a table with one row per key.
 
     Rows with null or empty text count as documents of length 0. `positions`
-    can be left out where no query has phrases of several terms. `only` limits
-    the postings (not the lengths and counts) to some terms, for an index that
-    is made for one batch of queries and not kept.
+    can be left out where no query has phrases of several terms.
     """
     docs = spread(df.select(df[key_col].alias("key"), df[text_col].alias("text"))).select("key", how.terms(F.col("text")).alias("terms"))
-    if only is None:
-        lengths = docs.select("key", F.size("terms").alias("length"))
-        tokens = docs.select("key", F.posexplode("terms").alias("position", "term")) if positions else docs.select("key", F.explode("terms").alias("term"))
-    else:
-        # The texts are read once; what is kept of them is their length and the terms asked for.
-        wanted = sorted(set(only))
-        numbered = F.transform("terms", lambda t, i: F.struct(i.alias("position"), t.alias("term")))
-        kept = materialize(docs.select("key", F.size("terms").alias("length"), F.filter(numbered, lambda x: x["term"].isin(wanted)).alias("hits")))
-        lengths = kept.select("key", "length")
-        tokens = kept.select("key", F.explode("hits").alias("h")).select("key", "h.position", "h.term")
-    places = [F.sort_array(F.collect_list("position")).alias("positions")] if positions else []
-    postings = tokens.groupBy("term", "key").agg(F.count(F.lit(1)).alias("tf"), *places)
-    stats = lengths.agg(F.count(F.lit(1)).alias("documents"), (F.sum("length").cast("double") / F.count(F.lit(1))).alias("mean"))
-    return InvertedIndex(postings, lengths, stats, how)
+    lengths = docs.select("key", F.size("terms").alias("length"))
+    # Ranges of (term, key) are what the groups need and what a kept index is sorted by: one shuffle, and a frequent term is spread over tasks.
+    tokens = docs.select("key", F.size("terms").alias("length"), F.posexplode("terms").alias("position", "term"))
+    tokens = (tokens if positions else tokens.drop("position")).repartitionByRange("term", "key")
+    return InvertedIndex(_postings(tokens), lengths, _stats(lengths), how, tokens=tokens)
+
+
+def _postings(tokens: DataFrame) -> DataFrame:
+    places = [F.sort_array(F.collect_list("position")).alias("positions")] if "position" in tokens.columns else []
+    return tokens.groupBy("term", "key", "length").agg(F.count(F.lit(1)).alias("tf"), *places)
+
+
+def _stats(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count(F.lit(1)).alias("documents"), (F.sum("length").cast("double") / F.count(F.lit(1))).alias("mean"))
+
+
+def keep(index: InvertedIndex) -> InvertedIndex:
+    """The index written to the shared folder, by term, so that a question reads the row groups of its terms.
+
+    What is written are the terms one by one; those asked for are counted when
+    they are read, which spares grouping all the others.
+    """
+    lengths = materialize(index.lengths)
+    stats = _stats(lengths)
+    row = stats.collect()[0]
+    tokens = materialize(index.tokens.sortWithinPartitions("term", "key"))
+    return InvertedIndex(_postings(tokens), lengths, stats, index.how, (row["documents"], row["mean"] or 0.0), tokens)
 
 
 def query_terms(queries: list[tuple[int, str]], how: Strategy) -> list[str]:
@@ -135,21 +152,31 @@ def query_phrases(spark: SparkSession, queries: list[tuple[int, str]], how: Stra
     return spark.createDataFrame(rows, "query_id long, phrase string, words array<string>, times int")
 
 
-def phrase_matches(index: InvertedIndex, phrases: DataFrame) -> DataFrame:
-    """(phrase, key, tf): how often each phrase occurs in each document that has it.
+#: Up to so many terms are looked for by value, which prunes row groups; more of them by a join.
+MOST_LITERALS = 5000
+
+
+def phrase_matches(index: InvertedIndex, phrases: DataFrame, terms: list[str] | None = None, several: bool = True) -> DataFrame:
+    """(phrase, key, length, tf): how often each phrase occurs in each document that has it.
 
     A phrase's first term fixes where it would begin; for each further term the
-    positions are shifted back and intersected.
+    positions are shifted back and intersected. `terms` are all terms asked for,
+    where the caller has them; `several` is whether any phrase has more than one.
     """
     wanted = phrases.select("phrase", "words").distinct()
-    terms = wanted.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("at", "term"))
-    hit = index.postings.join(fits_broadcast(terms), "term")
-    single = hit.where(F.col("n") == 1).select("phrase", "key", F.col("tf").cast("long").alias("tf"))
-    if "positions" not in index.postings.columns:
+    asked = wanted.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("at", "term"))
+    own = index.postings
+    if terms is not None and len(terms) <= MOST_LITERALS:
+        own = own.where(F.col("term").isin(terms))
+    if "length" not in own.columns:
+        own = own.join(index.lengths, "key")
+    hit = own.join(fits_broadcast(asked), "term")
+    single = hit.where(F.col("n") == 1).select("phrase", "key", "length", F.col("tf").cast("long").alias("tf"))
+    if "positions" not in own.columns or not several:
         return single
-    several = hit.where(F.col("n") > 1).select("phrase", "n", "key", "at", F.explode("positions").alias("p")).select("phrase", "n", "key", "at", (F.col("p") - F.col("at")).alias("begin"))
-    whole = several.groupBy("phrase", "key", "begin", "n").agg(F.countDistinct("at").alias("k")).where(F.col("k") == F.col("n"))
-    return single.unionByName(whole.groupBy("phrase", "key").agg(F.count(F.lit(1)).alias("tf")))
+    parts = hit.where(F.col("n") > 1).select("phrase", "n", "key", "length", "at", F.explode("positions").alias("p")).select("phrase", "n", "key", "length", "at", (F.col("p") - F.col("at")).alias("begin"))
+    whole = parts.groupBy("phrase", "key", "length", "begin", "n").agg(F.countDistinct("at").alias("k")).where(F.col("k") == F.col("n"))
+    return single.unionByName(whole.groupBy("phrase", "key", "length").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def bm25(index: InvertedIndex, queries: list[tuple[int, str]], order: str = "relevance") -> DataFrame:
@@ -164,18 +191,22 @@ def bm25(index: InvertedIndex, queries: list[tuple[int, str]], order: str = "rel
         raise ValueError(f"order must be relevance or reference, not {order!r}")
     spark = index.postings.sparkSession
     phrases = query_phrases(spark, queries, index.how)
-    found = phrase_matches(index, phrases)
+    found = phrase_matches(index, phrases, query_terms(queries, index.how), any(len(w) > 1 for _, text in queries for w in index.how.phrases(text)))
     frequency = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
-    n = F.col("documents")
+    counted = found.join(fits_broadcast(frequency), "phrase")
+    if index.collection:
+        n, mean = (F.lit(x) for x in index.collection)
+    else:
+        n, mean = F.col("documents"), F.col("mean")
+        counted = counted.crossJoin(F.broadcast(index.stats))
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = found.join(fits_broadcast(frequency), "phrase").join(index.lengths, "key").crossJoin(F.broadcast(index.stats))
-    scored = scored.withColumn("s", F.when(idf > 0, idf).otherwise(LEAST_IDF) * weight)
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
+    scored = counted.select("phrase", "key", (F.when(idf > 0, idf).otherwise(LEAST_IDF) * weight).alias("s"))
     both = scored.join(fits_broadcast(phrases.select("query_id", "phrase", "times")), "phrase")
     total = both.groupBy("query_id", "key").agg(F.sum(F.col("s") * F.col("times")).alias("score"), F.count(F.lit(1)).alias("matched"))
     if index.how.match == "all":
         asked = phrases.groupBy("query_id").agg(F.count(F.lit(1)).alias("asked"))
-        total = total.join(F.broadcast(asked), "query_id").where(F.col("matched") == F.col("asked"))
+        total = total.join(fits_broadcast(asked), "query_id").where(F.col("matched") == F.col("asked"))
     return total.select("query_id", "key", (F.col("score") if order == "relevance" else -F.col("score")).alias("score"))
 
 

@@ -51,9 +51,20 @@ SELECT query_id, chunk_id, round(score, 6) AS score, position FROM
 """
 
 
+_kept: dict[tuple[str, str, str], L.InvertedIndex] = {}
+
+
+def kept_index(spark: SparkSession, folder: str, how: L.Strategy) -> L.InvertedIndex:
+    """The inverted index of a folder's chunks, built once in a session and kept in the shared folder; questions read the postings of their terms."""
+    key = (spark.sparkContext.applicationId, folder, how.index_form)
+    if key not in _kept:
+        _kept[key] = L.keep(L.invert(table(spark, folder, "chunks"), how=how, positions=how.index_form == "unicode61"))
+    found = _kept[key]
+    return L.InvertedIndex(found.postings, found.lengths, found.stats, how, found.collection, found.tokens)
+
+
 def _answer(spark: SparkSession, folder: str, questions: list[tuple[int, str]], how: L.Strategy, order: str = "relevance") -> DataFrame:
-    index = L.invert(table(spark, folder, "chunks"), how=how, positions=how is L.UNICODE61, only=L.query_terms(questions, how))
-    scores = L.bm25(index, questions, order).withColumn("score", F.round("score", 9))
+    scores = L.bm25(kept_index(spark, folder, how), questions, order).withColumn("score", F.round("score", 9))
     return L.best_of(scores, 10, F.desc("score")).select("query_id", F.col("key").alias("chunk_id"), F.round("score", 6).alias("score"), "position")
 
 
@@ -101,5 +112,5 @@ def distinct_terms(spark: SparkSession, folder: str) -> DataFrame:
 @register(f"SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM (SELECT chunk_id, unnest({TERMS}) AS term FROM chunks) GROUP BY term")
 def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     """The index's terms with document and collection frequency."""
-    index = L.invert(table(spark, folder, "chunks"), positions=False)
+    index = kept_index(spark, folder, L.UNICODE61)
     return index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))

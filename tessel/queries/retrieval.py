@@ -9,7 +9,7 @@ from tessel.operators.evaluate import by_bucket, query_metrics
 from tessel.operators.ranking import Linear, MinMax, Softmax
 from tessel.plans.retrieval import RetrievalPlan, build_plan
 from tessel.queries.dense import ASKED_SQL, VECTORS_SQL, asked_vectors
-from tessel.queries.lexical import QUESTIONS, TERMS, _bm25_sql
+from tessel.queries.lexical import QUESTIONS, TERMS, _bm25_sql, kept_index
 from tessel.queries.registry import register
 from tessel.runtime import table
 
@@ -43,7 +43,7 @@ def _queries(spark: SparkSession, folder: str) -> list[S.Query]:
 
 
 def _found(spark: SparkSession, folder: str, plan: RetrievalPlan) -> S.Candidates:
-    index = L.invert(table(spark, folder, "chunks"), only=L.query_terms(QUESTIONS, L.UNICODE61))
+    index = kept_index(spark, folder, L.UNICODE61)
     return S.candidates(table(spark, folder, "chunk_vectors"), index, _queries(spark, folder), plan, 10, digits=DIGITS)
 
 

@@ -7,7 +7,7 @@ CHUNKS = T.StructType(
     [T.StructField("content_digest", T.StringType()), T.StructField("seq", T.IntegerType()), T.StructField("digest", T.StringType()), T.StructField("text", T.StringType()), T.StructField("heading", T.StringType()), T.StructField("page", T.IntegerType())]
 )
 POSTINGS = T.StructType(
-    [T.StructField("term", T.StringType()), T.StructField("content_digest", T.StringType()), T.StructField("seq", T.IntegerType()), T.StructField("tf", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]
+    [T.StructField("term", T.StringType()), T.StructField("content_digest", T.StringType()), T.StructField("seq", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("tf", T.LongType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]
 )
 LENGTHS = T.StructType([T.StructField("content_digest", T.StringType()), T.StructField("seq", T.IntegerType()), T.StructField("length", T.IntegerType())])
 VECTORS = T.StructType([T.StructField("content_digest", T.StringType()), T.StructField("seq", T.IntegerType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])

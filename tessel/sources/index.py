@@ -130,8 +130,8 @@ class Index:
     def _inverted(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Postings and lengths of new chunks. Postings lie by term, so that a query's terms prune row groups."""
         index = invert(chunks.withColumn("k", F.struct("content_digest", "seq")), key_col="k", how=self.strategy())
-        postings = index.postings.select("term", "key.content_digest", "key.seq", "tf", "positions")
-        return postings.repartitionByRange("term").sortWithinPartitions("term"), index.lengths.select("key.content_digest", "key.seq", "length")
+        postings = index.postings.select("term", "key.content_digest", "key.seq", "length", "tf", "positions")
+        return postings.sortWithinPartitions("term", "content_digest", "seq"), index.lengths.select("key.content_digest", "key.seq", "length")
 
     def strategy(self) -> Strategy:
         """The tokenizer that the index was made with."""
@@ -139,7 +139,7 @@ class Index:
 
     def inverted(self, how: Strategy, only: list[str]) -> InvertedIndex:
         """The kept inverted index for some terms, with chunk_key as key: a query reads its terms' postings, not the texts."""
-        postings = self.read("postings").where(F.col("term").isin(sorted(set(only)))).select("term", chunk_key().alias("key"), "tf", "positions")
+        postings = self.read("postings").where(F.col("term").isin(sorted(set(only)))).select("term", chunk_key().alias("key"), "length", "tf", "positions")
         lengths = self.read("lengths").select(chunk_key().alias("key"), "length")
         stats = lengths.agg(F.count(F.lit(1)).alias("documents"), (F.sum("length").cast("double") / F.count(F.lit(1))).alias("mean"))
         return InvertedIndex(postings, lengths, stats, how)
