@@ -56,6 +56,7 @@ class Workspace:
 
     def opened(self):
         """The index, checked against the settings."""
+        from tessel.operators.embed import EmbeddingError
         from tessel.operators.lexical import strategy
         from tessel.sources.index import issues
 
@@ -63,7 +64,11 @@ class Workspace:
         if not index.exists():
             raise Failure("no_index", "there is no index; run mine first")
         e = self.settings["embedding"]
-        found = issues(index.meta(), self.embedder().model_id, e["dimension"] or None, strategy(self.settings["lexical"]["tokenizer"]).index_form)
+        try:
+            model = self.embedder().model_id
+        except EmbeddingError:  # a provider that cannot be reached is not compared
+            model = None
+        found = issues(index.meta(), model, e["dimension"] or None, strategy(self.settings["lexical"]["tokenizer"]).index_form)
         if found:
             raise Failure(*found[0])
         return index
@@ -121,19 +126,24 @@ def _candidates(ws: Workspace, index, text: str, top_k: int):
     how = strategy(ws.settings["lexical"]["tokenizer"])
     inverted = index.inverted(how, query_terms([(1, text)], how))
     query = Query(1, text, ws.embedder().embed_query(text) if text.strip() else [])
-    return chunks, candidates(vectors, inverted, [query], build_plan(**r), top_k, ws.settings["lexical"]["order"], "string")
+    plan = build_plan(**r)
+    return chunks, candidates(vectors, inverted, [query], plan, top_k, ws.settings["lexical"]["order"], "string"), plan
 
 
 def prospect(ws: Workspace, args) -> dict:
-    """The best chunks for a question."""
+    """The best chunks for a question; files that changed since they were indexed are marked stale first."""
     from pyspark.sql import functions as F
 
+    from tessel.plans.ingest import detect
+
     from tessel.functions.text import preview, short_id
     from tessel.operators.search import hydrate, search
 
     index = ws.opened()
+    _, buckets, _ = detect(index, _session(), str(ws.root), ws.ignore_files())
+    index.note_changes(buckets)
     top_k = args.top_k or ws.settings["retrieval"]["top_k"]
-    chunks, found = _candidates(ws, index, args.query, top_k)
+    chunks, found, _ = _candidates(ws, index, args.query, top_k)
     hits = hydrate(search(found, top_k), chunks, index.read("files"))
     rows = hits.select("rank", short_id("digest").alias("id"), F.col("combined").alias("score"), F.col("primary").alias("path"), "seq", "heading", "page", "stale", preview("text").alias("preview"))
     return {"query": args.query, "results": [r.asDict() for r in rows.orderBy("rank").collect()]}
@@ -144,13 +154,15 @@ def _one(ws: Workspace, index, prefix: str):
 
     chunks, _ = _keyed(index)
     try:
-        found = chunks_by_prefix(chunks, index.read("files"), prefix).orderBy("primary", "seq").limit(20).collect()
+        all_found = chunks_by_prefix(chunks, index.read("files"), prefix)
+        found = all_found.orderBy("primary", "seq").limit(20).collect()
     except ValueError as e:
         raise Failure("invalid_digest", str(e)) from None
     if not found:
         raise Failure("not_found", f"no chunk begins with {prefix}")
     if len(found) > 1:
-        raise Failure("ambiguous", f"{len(found)} chunks begin with {prefix}: " + ", ".join(r["digest"][:24] for r in found))
+        number = len(found) if len(found) < 20 else all_found.count()
+        raise Failure("ambiguous", f"{number} chunks begin with {prefix}: " + ", ".join(r["digest"][:24] for r in found))
     return chunks, found[0]
 
 
@@ -181,9 +193,10 @@ def assay(ws: Workspace, args) -> dict:
         how = strategy(ws.settings["lexical"]["tokenizer"])
         return {"tokens": [r["term"] for r in token_stream(own, "text", ["chunk_id"], how).orderBy("position").collect()], "terms": [r["term"] for r in distinct_terms(own, "text", ["chunk_id"], how).orderBy("first").collect()]}
     top_k = args.top_k or ws.settings["retrieval"]["top_k"]
-    _, found = _candidates(ws, index, args.query or "", top_k)
+    _, found, plan = _candidates(ws, index, args.query or "", top_k)
     rows = explain(found, own.select(F.lit(1).cast("long").alias("query_id"), F.col("chunk_id").alias("key")), top_k).orderBy(F.desc("source")).collect()
-    return {"sources": [{k: r[k] for k in ("source", "status", "pool_size", "raw_score", "prepared_score", "pool_rank")} for r in rows], "combined": rows[0]["combined"], "rank": rows[0]["rank"], "in_results": rows[0]["in_results"]}
+    formula = plan.fusion.formula({r["source"]: r["prepared_score"] if plan.fusion.name == "linear" else r["place"] for r in rows})
+    return {"sources": [{k: r[k] for k in ("source", "status", "pool_size", "raw_score", "prepared_score", "pool_rank", "contribution")} for r in rows], "formula": formula, "combined": rows[0]["combined"], "rank": rows[0]["rank"], "in_results": rows[0]["in_results"]}
 
 
 def config(ws: Workspace, args) -> dict:

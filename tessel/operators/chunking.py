@@ -28,6 +28,8 @@ class RecursiveSplitter:
     still too long are cut at the next one. A separator stays at the end of its
     part, nothing is stripped. Neighbouring parts are joined while they fit;
     the next piece begins with as many of the last parts as fit into `overlap`.
+    Parts are joined with parts of the same cut only: a part that is cut itself
+    ends the piece before it, and the piece after it begins anew.
     """
 
     def __init__(self, size: int = SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS):
@@ -38,35 +40,40 @@ class RecursiveSplitter:
         self.size, self.overlap, self.separators = size, overlap, separators
 
     def split(self, text: str) -> list[str]:
+        return self._cut(text, 0) if text else []
+
+    def _cut(self, text: str, level: int) -> list[str]:
+        last = len(self.separators) - 1
+        while level < last and self.separators[level] not in text:
+            level += 1
+        sep = self.separators[level]
+        parts = [p + sep for p in text.split(sep)] if sep else list(text)
+        if sep:
+            parts[-1] = parts[-1][: -len(sep)]
+        pieces: list[str] = []
+        small: list[str] = []
+        for part in parts:
+            if len(part) < self.size:
+                small.append(part)
+                continue
+            pieces += self._joined(small)
+            small = []
+            pieces += self._cut(part, level + 1) if level < last else [part]
+        return pieces + self._joined(small)
+
+    def _joined(self, parts: list[str]) -> list[str]:
+        """Parts put together to pieces, each beginning with what the overlap allows of the one before."""
         pieces: list[str] = []
         window: list[str] = []
         length = 0
-        for part in self._parts(text, 0):
+        for part in filter(None, parts):
             if window and length + len(part) > self.size:
                 pieces.append("".join(window))
                 while window and (length > self.overlap or length + len(part) > self.size):
                     length -= len(window.pop(0))
             window.append(part)
             length += len(part)
-        if window:
-            pieces.append("".join(window))
-        return pieces
-
-    def _parts(self, text: str, level: int) -> Iterator[str]:
-        """Parts that are small enough to be joined, in order."""
-        while level < len(self.separators) and self.separators[level] and self.separators[level] not in text:
-            level += 1
-        sep = self.separators[level] if level < len(self.separators) else ""
-        if not sep:
-            yield from text
-            return
-        parts = [p + sep for p in text.split(sep)]
-        parts[-1] = parts[-1][: -len(sep)]
-        for part in parts:
-            if len(part) > self.size:
-                yield from self._parts(part, level + 1)
-            elif part:
-                yield part
+        return pieces + ["".join(window)] if window else pieces
 
 
 def split_segments(segments: list[tuple[str, str, int | None]], splitter: Splitter) -> list[tuple[int, str, str, int | None]]:

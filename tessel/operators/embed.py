@@ -122,7 +122,7 @@ class HttpEmbedder:
             except (urllib.error.URLError, TimeoutError, ValueError) as e:
                 if attempt == self.retries:
                     raise EmbeddingError(f"{url}: {e}") from e
-            self.sleep(min(2**attempt, LONGEST_WAIT))
+            self.sleep(min(2 ** (attempt + 1), LONGEST_WAIT))
 
 
 @dataclass

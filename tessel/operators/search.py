@@ -31,7 +31,7 @@ class Query:
 
 @dataclass
 class Candidates:
-    """prepared: the pools' rows; fused: one row per key; enabled: the sources asked."""
+    """prepared: the pools' rows with what each contributes; fused: one row per key; enabled: the sources asked."""
 
     prepared: DataFrame
     fused: DataFrame
@@ -59,6 +59,7 @@ def candidates(vectors: DataFrame, index: InvertedIndex, queries: list[Query], p
         found = sparse_search(index, [(q.query_id, q.text) for q in asked], size, order)
         pools = pools.unionByName(found.select("query_id", F.lit(LEXICAL).alias("source"), "key", raw(F.col("score")).alias("raw")))
     prepared = prepare(pools, plan.norm)
+    prepared = prepared.withColumn("contribution", plan.fusion.contribution())
     return Candidates(prepared, fuse(prepared, plan.fusion), enabled)
 
 
@@ -96,7 +97,8 @@ def explain(found: Candidates, wanted: DataFrame, top_k: int = TOP_K, digits: in
     """One row for each wanted (query_id, key) and source.
 
     Columns: query_id, key, source, status, pool_size, raw_score,
-    prepared_score, pool_rank, combined (0 if nowhere found), rank (over all
+    prepared_score, pool_rank, place (1-based, ties by key), contribution (what the
+    source adds to combined), combined (0 if nowhere found), rank (over all
     positive scores), in_results. status is, in this order, disabled (the source
     was not asked), empty (it found nothing), not_retrieved (not this key), else
     matched.
@@ -104,7 +106,7 @@ def explain(found: Candidates, wanted: DataFrame, top_k: int = TOP_K, digits: in
     sources = F.explode(F.array(F.lit(SEMANTIC), F.lit(LEXICAL))).alias("source")
     rows = wanted.select("query_id", "key").distinct().select("query_id", "key", sources)
     sizes = found.prepared.groupBy("query_id", "source").agg(F.max("pool_size").alias("size"))
-    own = found.prepared.select("query_id", "key", "source", "raw", "prepared", "pool_rank")
+    own = found.prepared.select("query_id", "key", "source", "raw", "prepared", "pool_rank", "place", "contribution")
     place = ranked(found.fused, digits).select("query_id", "key", "rank")
     total = found.fused.select("query_id", "key", "combined")
     out = rows.join(F.broadcast(sizes), ["query_id", "source"], "left").join(own, ["query_id", "key", "source"], "left")
@@ -119,6 +121,8 @@ def explain(found: Candidates, wanted: DataFrame, top_k: int = TOP_K, digits: in
         F.col("raw").alias("raw_score"),
         F.col("prepared").alias("prepared_score"),
         "pool_rank",
+        "place",
+        F.coalesce("contribution", F.lit(0.0)).alias("contribution"),
         F.coalesce("combined", F.lit(0.0)).alias("combined"),
         "rank",
         F.coalesce(F.col("rank") <= top_k, F.lit(False)).alias("in_results"),

@@ -144,3 +144,35 @@ def orphan_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "chunk_vectors").join(live, "content_digest", "left_anti").select("chunk_id", "content_digest", "seq")
 
 
+@register("SELECT v.chunk_id, v.content_digest, v.seq FROM chunk_vectors v ANTI JOIN (SELECT DISTINCT content_digest FROM files WHERE status = 'fresh') f ON v.content_digest = f.content_digest")
+def orphan_vectors_stale(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors that would be collected if all stale paths went."""
+    live = table(spark, folder, "files").where(F.col("status") == "fresh").select("content_digest").distinct()
+    return table(spark, folder, "chunk_vectors").join(live, "content_digest", "left_anti").select("chunk_id", "content_digest", "seq")
+
+
+@register("""WITH o AS (SELECT content_digest, path AS old_path, row_number() OVER (PARTITION BY content_digest ORDER BY path) AS nth FROM files),
+n AS (SELECT content_digest, 'moved/' || reverse(path) AS new_path, row_number() OVER (PARTITION BY content_digest ORDER BY 'moved/' || reverse(path)) AS nth FROM files)
+SELECT content_digest, old_path, new_path FROM o JOIN n USING (content_digest, nth)""")
+def rename_pairs_moved(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs after every file has got another name: contents that several paths hold are paired in the order of their paths."""
+    old = table(spark, folder, "files").select("path", "content_digest")
+    return D.rename_pairs(old.select(F.concat(F.lit("moved/"), F.reverse("path")).alias("path"), "content_digest"), old)
+
+
+@register("SELECT DISTINCT f.path, f.content_digest, f.status FROM files f JOIN scans s ON s.path = f.path WHERE s.scan_id = (SELECT max(scan_id) FROM scans)")
+def file_by_path(spark: SparkSession, folder: str) -> DataFrame:
+    """The index's records of the paths that the last walk saw."""
+    scans = table(spark, folder, "scans")
+    last = scans.agg(F.max("scan_id").alias("scan_id"))
+    seen = scans.join(F.broadcast(last), "scan_id").select("path").distinct()
+    return table(spark, folder, "files").join(seen, "path", "left_semi").select("path", "content_digest", "status")
+
+
+@register("SELECT s.content_digest, count(DISTINCT s.path) AS paths, bool_or(c.content_digest IS NOT NULL) AS known FROM scans s LEFT JOIN (SELECT DISTINCT content_digest FROM chunks) c ON c.content_digest = s.content_digest WHERE s.content_digest IS NOT NULL GROUP BY s.content_digest")
+def content_by_digest(spark: SparkSession, folder: str) -> DataFrame:
+    """Contents that walks have read, and whether the index has chunks of them."""
+    known = table(spark, folder, "chunks").select("content_digest", F.lit(True).alias("k")).distinct()
+    read = table(spark, folder, "scans").where(F.col("content_digest").isNotNull()).select("content_digest", "path").distinct()
+    paths = read.groupBy("content_digest").agg(F.count(F.lit(1)).alias("paths"))
+    return paths.join(known, "content_digest", "left").select("content_digest", "paths", F.coalesce("k", F.lit(False)).alias("known"))

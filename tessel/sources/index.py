@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from tessel.operators.detect import MISSING
 from tessel.operators.lexical import STRATEGIES, InvertedIndex, Strategy, invert
+from tessel.runtime import materialize
 from tessel.schema import CHUNKS, FILES, LENGTHS, POSTINGS, VECTORS
 from tessel.sources.versioned import VersionedTable
 
@@ -147,12 +148,14 @@ class Index:
     def remove_files(self, paths: DataFrame) -> int:
         return self.replace_files(self.spark.createDataFrame([], FILES), removed=paths)
 
-    def mark_stale(self, paths: DataFrame) -> int:
-        """Set the status of known paths; unknown ones are ignored."""
-        rows = self.read("files").join(paths.select("path").distinct(), "path", "left_semi").where(F.col("status") != "stale")
+    def mark_stale(self, paths: DataFrame) -> int | None:
+        """Set the status of known paths; unknown ones are ignored. None, and no commit, if all are stale already."""
+        rows = materialize(self.read("files").join(paths.select("path").distinct(), "path", "left_semi").where(F.col("status") != "stale"))
+        if rows.isEmpty():
+            return None
         return self.replace_files(rows.withColumn("status", F.lit("stale")).select(*[f.name for f in FILES]))
 
-    def note_changes(self, buckets: DataFrame) -> int:
+    def note_changes(self, buckets: DataFrame) -> int | None:
         """Mark what has changed or gone as stale."""
         return self.mark_stale(buckets.where(F.col("bucket").isin("changed", MISSING)).select("path"))
 

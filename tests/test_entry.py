@@ -16,7 +16,15 @@ def test_sql_belongs_to_queries():
     assert ("p8_ids" in entry.queries()) == (importlib.util.find_spec("tessel.llm") is not None)
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "hybrid_search", "explain_hits", "p2_found", "classify_buckets", "neighbor_window", "eval_metrics", "normalize_text"])
+def test_core_queries_stay_without_the_subpackage(monkeypatch):
+    import sys
+
+    monkeypatch.setitem(sys.modules, "tessel.llm", None)
+    monkeypatch.delitem(sys.modules, "tessel.llm.queries", raising=False)
+    assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(SQL)
+
+
+@pytest.mark.parametrize("name", ["knn_topk", "rename_pairs_moved", "orphan_vectors_stale", "file_by_path", "han_match", "trigram_match", "bm25_topk", "hybrid_search", "explain_hits", "p2_found", "classify_buckets", "neighbor_window", "eval_metrics", "normalize_text"])
 def test_agrees_with_sql(spark, folder, name):
     con = duckdb.connect()
     for t in ("chunks", "chunk_vectors", "files", "scans", "source_explanations", "documents"):

@@ -185,3 +185,10 @@ def test_recursive_splitter(spark):
     assert [(q, h) for q, _, h, _ in split_segments([("aaa " * 10, "A", 1), ("bbb", "B", 2)], s)] == [(0, "A"), (1, "A"), (2, "B")]
     df = spark.createDataFrame([(1, "x " * 1000), (2, None), (3, "")], "doc_id long, text string")
     assert {r["doc_id"] for r in split_documents(df).collect()} == {1}
+
+
+def test_parts_are_joined_with_parts_of_the_same_cut():
+    text = "aaa bbb\n\n" + "c" * 12 + " " + "d" * 12 + "\n\neee"
+    assert RecursiveSplitter(20, 0).split(text) == ["aaa bbb\n\n", "c" * 12 + " ", "d" * 12 + "\n", "\n", "eee"]
+    assert RecursiveSplitter(30, 10).split("one two three\n\nfour five six seven") == ["one two three\n\n", "four five six seven"]
+    assert RecursiveSplitter(4, 2).split("abcdefgh") == ["abcd", "cdef", "efgh"] and RecursiveSplitter(1, 0).split("ab") == ["a", "b"] and RecursiveSplitter().split("") == []

@@ -212,7 +212,7 @@ def test_embedding(spark):
     assert Fake("http://x/v1", "m", sleep=waits.append).embed_documents(["a", "b"]) == [[1.0, 0.0], [0.0, 1.0]]
     with pytest.raises(EmbeddingError):
         OpenAICompatible("http://127.0.0.1:9", "m", sleep=waits.append, timeout=1).embed_query("x")
-    assert waits == [1, 2, 4]
+    assert waits == [2, 4, 8]
 
 
 def test_settings(tmp_path):
@@ -248,11 +248,13 @@ def test_commands(spark, tmp_path, capsys):
     assert hits[0]["path"] == "a.md" and hits[0]["preview"].endswith("jumps")
     got_ = run("dig", hits[0]["id"], "--radius", "1")[1]
     assert [r["path"] for r in got_["refs"]] == ["a.md", "copy.txt"] and got_["window"] == []
-    assert run("assay", "why", hits[0]["id"], "fox")[1]["in_results"] is True
+    why = run("assay", "why", hits[0]["id"], "fox")[1]
+    assert why["in_results"] is True and sum(x["contribution"] for x in why["sources"]) == pytest.approx(why["combined"]) and "semantic × 0.7 + lexical × 0.3 =" in why["formula"]
     assert run("assay", "how", hits[0]["id"])[1]["tokens"] == ["the", "quick", "brown", "fox", "jumps"]
     (tmp_path / "b.txt").rename(tmp_path / "moved.txt")
     (tmp_path / "a.md").write_text("a changed text about foxes")
     (tmp_path / "copy.txt").unlink()
+    assert run("prospect", "fox")[1]["results"][0]["stale"] is True
     (tmp_path / "bad.docx").unlink()
     done = run("mine")[1]["summary"]
     assert (done["renamed"], done["changed"], done["removed"], done["embedded_chunks"]) == (1, 1, 1, 1)
