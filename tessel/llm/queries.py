@@ -110,6 +110,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "p1_found": "SELECT chunk_id FROM chunks WHERE length(text) > 1024",
+    "p5_found": r"""
+WITH w AS (SELECT chunk_id, unnest(regexp_split_to_array(lower(text), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+')) AS p FROM chunks WHERE text IS NOT NULL),
+t AS (SELECT chunk_id, regexp_replace(p, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') AS word FROM w),
+c AS (SELECT chunk_id, word, count(*) AS n FROM t WHERE word <> '' GROUP BY ALL),
+s AS (SELECT chunk_id, sum(n) AS size FROM c GROUP BY chunk_id),
+o AS (SELECT a.chunk_id AS a, b.chunk_id AS b, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b ON a.word = b.word AND a.chunk_id < b.chunk_id GROUP BY ALL)
+SELECT o.a AS chunk_id_a, o.b AS chunk_id_b FROM o JOIN s x ON x.chunk_id = o.a JOIN s y ON y.chunk_id = o.b WHERE shared >= 0.75 * greatest(x.size, y.size)
+""",
     "p6_found": """
 WITH m AS (SELECT query_id AS q, chunk_id AS i, source AS s, max(CASE WHEN isfinite(raw_score) THEN raw_score END) AS raw,
   max(CASE WHEN isfinite(prepared_score) THEN prepared_score END) AS prepared, min(pool_rank) AS rank
