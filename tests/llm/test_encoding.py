@@ -80,3 +80,34 @@ def test_lost_characters_are_judged_by_their_description(known):
     # Where all texts have the sign, naming it costs nothing and nothing is lost by it.
     usual = Dictionaries(known.data, known.languages, {**known.naming, "�": 0.0}, known.blocks)
     assert usual.length("a �", 0) < known.length("a �", 0)
+
+
+def test_every_text_is_learned_from(spark):
+    from pyspark.sql import functions as F
+
+    # Greek stands in the rows with the greatest hashes only, which no sample by the smallest ones holds.
+    mark = F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 30))
+    keys = [r.chunk_id for r in spark.range(9000).select(F.col("id").alias("chunk_id")).orderBy(mark).collect()]
+    rows = [(k, f"{k}. {SOUND[i % 7] if i < 8400 else GREEK}") for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "chunk_id long, text string")
+    known = fit_dictionaries(df)
+    assert 0x3 in known.languages.blocks
+    assert any("συμβολαιογράφος".encode() in content for content in known.data.values())
+
+
+def test_parts_and_partitions(spark):
+    rows = [(i, f"{i}. {t}") for i, t in enumerate(SOUND * 5)]
+    df = spark.createDataFrame(rows, "chunk_id long, text string")
+    # More parts of a cluster than are merged at once.
+    one, other = (fit_dictionaries(df.repartition(n), size=2048, part=2048) for n in (2, 5))
+    assert one.data == other.data and one.naming == other.naming
+    assert len(one.data) == len({one.languages.of(t) for _, t in rows})
+    bad = garble(SOUND[3], "utf-8", "latin-1")
+    assert repair(bad, one).text == SOUND[3] and repair(SOUND[3], one) is None
+
+
+def test_texts_garbled_twice_are_not_learned_from():
+    bad = garble(garble(SOUND[1], "utf-8", "cp1252"), "utf-8", "cp1252")
+    frequent = train([f"{i}. {t}" for i, t in enumerate(SOUND)] + [f"{i}. {bad}" for i in range(60)])
+    assert repair(bad, frequent).text == SOUND[1]
+    assert not any("Ã¢â‚¬".encode() in content for content in frequent.data.values())
